@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixing, packing
+from millrace.llm import mixing, near_dedup, packing, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": packing.op6_packing,
     "op8_mixing": mixing.op8_mixing,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
