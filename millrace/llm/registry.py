@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixing, near_dedup, packing, suffix_dedup
+from millrace.llm import language, mixing, near_dedup, packing, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_packing": packing.op6_packing,
+    "op7_language": language.op7_language,
     "op8_mixing": mixing.op8_mixing,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_near_dedup": near_dedup.op10_near_dedup,
