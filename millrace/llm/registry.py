@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_topk, language, mixing, near_dedup, packing, quality_rules, resampling, suffix_dedup, toxicity
+from millrace.llm import exact_topk, language, line_dedup, mixing, near_dedup, packing, quality_rules, resampling, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_resampling": resampling.op2_resampling,
     "op3_exact_topk": exact_topk.op3_exact_topk,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_packing": packing.op6_packing,
     "op7_language": language.op7_language,
