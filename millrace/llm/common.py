@@ -61,10 +61,16 @@ class Scratch:
         atexit.register(self._clear)
 
     def keep(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
-        """Write df and return a DataFrame that reads what was written."""
+        """Write df and return a DataFrame that reads what was written; the write's shuffle files go with it."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.option("compression", codec).parquet(path)
+        tidy, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", self.spark.conf
+        before = conf.get(tidy)
+        conf.set(tidy, "true")
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            conf.set(tidy, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -10,10 +10,12 @@ groups (position, name) pairs at growing offsets, and only what is not yet uniqu
 2. 132 bytes, 68 to the left of the anchor or to its right: each window covers one of
    the two, so an anchor whose name is unique there has no repeated window on that side.
    In the same round whole runs (all bytes of the windows of one anchor) are named: runs
-   that are equal need no further round.
-3. 200 bytes, the threshold: the windows of what is left, one run for each distinct one.
+   that are equal need no further round. Of the others, one run of each kind goes on.
+3. 184 bytes, common to 17 windows of neighbouring offsets, and in the same round all the
+   bytes of those windows, as in round 2.
+4. 200 bytes, the threshold, for the windows of what is left.
 
-Names are 64 bits, and rounds 2 and 3 group by two of them.
+Names are 64 bits, and rounds 2 to 4 group by two of them.
 
 Defined cases: a null or empty text has no bytes and the digest of none; a text shorter
 than the window loses nothing; a row that is repeated is a repetition like any other; an
@@ -35,6 +37,8 @@ WINDOW = 200
 SEED_BYTES = 64
 #: Bytes of a text that are named at a time; windows that start in it may end beyond it.
 CHUNK = 1 << 17
+#: Neighbouring window offsets that round 3 takes together; divides the offsets of one side.
+OFFSETS = 17
 _BITS = np.uint64(18)
 
 
@@ -59,28 +63,70 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - h)], x[width - h :]) if width > h else x
 
 
-def runs(text: bytes, window: int = WINDOW):
-    """Arrays first, last, key, whole, left, right: the runs of window starts that share an anchor.
-
-    left and right are 0 where the run has no window on that side.
-    """
-    n, half = len(text), (window - SEED_BYTES) // 2
-    got = []
-    for at in range(0, n - window + 1, CHUNK):
-        data = np.frombuffer(text, np.uint8)[at : at + CHUNK + window - 1]
+class Buffer:
+    """Slices of texts laid end to end, so that short texts are named many at a time."""
+
+    def __init__(self, window: int):
+        self.window, self.parts, self.owner, self.at, self.size = window, [], [], [], 0
+
+    def add(self, owner: int, text: bytes):
+        """Append a text in slices of CHUNK window starts; yields what a full buffer holds."""
+        for at in range(0, len(text) - self.window + 1, CHUNK):
+            part = text[at : at + CHUNK + self.window - 1]
+            if self.size and self.size + len(part) > 2 * CHUNK - 64:
+                yield self.empty()
+            self.parts.append(part)
+            self.owner.append(owner)
+            self.at.append(at)
+            self.size += len(part)
+
+    def empty(self):
+        """owner, first, last, key, whole, left, right: the runs of window starts that share an anchor.
+
+        first and last are positions in the owner's text; left and right are 0 where the
+        run has no window on that side.
+        """
+        window, half = self.window, _half(self.window)
+        data = np.frombuffer(b"".join(self.parts), np.uint8)
+        sizes = np.array([len(x) for x in self.parts])
+        begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         name = _names(data, SEED_BYTES)
-        ranked = (name >> _BITS << _BITS) | np.arange(len(name), dtype=np.uint64)
-        anchor = (_least(ranked, window - SEED_BYTES + 1) & np.uint64((1 << int(_BITS)) - 1)).astype(np.int64)
+        anchor = _anchors(name, window)
+        inside = np.arange(len(anchor)) <= np.repeat(begin + sizes - window, sizes)[: len(anchor)]
+        start = np.flatnonzero(inside)
+        anchor = anchor[start]
         cuts = np.flatnonzero(np.diff(anchor)) + 1
-        first, last = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(anchor)])) - 1
-        a = anchor[first]
+        first, last = start[np.concatenate(([0], cuts))], start[np.concatenate((cuts, [len(start)])) - 1]
+        a = anchor[np.concatenate(([0], cuts))]
         prefix = common.prefix_hash(data)
         whole = common.span_hash(prefix, first, last + window)
         is_left, is_right = first <= a - half, last > a - half
         left = np.where(is_left, common.span_hash(prefix, np.where(is_left, a - half, 0), a + SEED_BYTES), 0)
         right = np.where(is_right, common.span_hash(prefix, a, np.where(is_right, a + window - half, a)), 0)
-        got.append((first + at, last + at, name[a], whole, left, right))
-    return [np.concatenate(x) for x in zip(*got, strict=True)] if got else [np.zeros(0, np.int64)] * 6
+        part = np.searchsorted(begin, first, side="right") - 1
+        shift = (np.array(self.at) - begin)[part]
+        out = np.array(self.owner)[part], first + shift, last + shift, name[a], whole, left, right
+        self.parts, self.owner, self.at, self.size = [], [], [], 0
+        return out
+
+
+def _half(window: int) -> int:
+    return (window - SEED_BYTES) // 2
+
+
+def _anchors(name: np.ndarray, window: int) -> np.ndarray:
+    """Position of the anchor of each window."""
+    ranked = (name >> _BITS << _BITS) | np.arange(len(name), dtype=np.uint64)
+    return (_least(ranked, window - SEED_BYTES + 1) & np.uint64((1 << int(_BITS)) - 1)).astype(np.int64)
+
+
+def _signed(x) -> np.ndarray:
+    return np.ascontiguousarray(x).astype(np.uint64).view(np.int64) if x.dtype != np.int64 else x
+
+
+def _emit(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    cols = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(_signed(c)) for c in cols], names=names)
 
 
 def _round_one(window, keys_only):
@@ -89,47 +135,79 @@ def _round_one(window, keys_only):
     def run(batches):
         for b in batches:
             uid = b.column(0).to_numpy()
-            cols: dict[str, list] = {k: [] for k in names}
-            for u, text in zip(uid, common.texts(b), strict=True):
-                if len(text) < window:
-                    continue
-                first, last, key, whole, left, right = runs(text, window)
-                cols["key"].append(key.view(np.int64))
-                if not keys_only:
-                    cols["uid"].append(np.full(len(key), u, np.int64))
-                    cols["span"].append(first << 32 | last)
-                    for k, v in (("whole", whole), ("left", left), ("right", right)):
-                        cols[k].append(v.astype(np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for v in cols.values()], names=names)
+            buffer, rows = Buffer(window), []
+
+            def take(owner, first, last, key, *rest):
+                rows.append((key,) if keys_only else (key, uid[owner], first << 32 | last, *rest))
+
+            for k, text in enumerate(common.texts(b)):
+                for full in buffer.add(k, text):
+                    take(*full)
+            if buffer.size:
+                take(*buffer.empty())
+            yield _emit(rows, names)
 
     return run
 
 
-def _windows(window):
-    """(doc_id, uid, text, runs) to the windows to be named: key, name, uid, at."""
-    half = (window - SEED_BYTES) // 2
+def _cut_runs(window):
+    """(uid, text, todo) to the runs that go on, with their bytes: key, uid, first, last, sides, bytes."""
 
     def run(batches):
         for b in batches:
-            at_runs = b.schema.get_field_index("todo")
-            key, name, uid, at = [], [], [], []
-            for u, text, todo in zip(b.column(b.schema.get_field_index("uid")).to_pylist(), common.texts(b), b.column(at_runs).to_pylist(), strict=True):
-                data = np.frombuffer(text, np.uint8)
+            out: list[tuple] = []
+            for u, text, todo in zip(b.column(0).to_pylist(), common.texts(b), b.column(2).to_pylist(), strict=True):
                 for r in todo:
                     first, last = r["span"] >> 32, r["span"] & 0xFFFFFFFF
-                    part = data[first : last + window]
-                    # the anchor again: the first least name of any window of the run
-                    names = _names(part, SEED_BYTES)
-                    ranked = (names >> _BITS << _BITS) | np.arange(len(names), dtype=np.uint64)
-                    anchor = int(ranked[: window - SEED_BYTES + 1].min() & np.uint64((1 << int(_BITS)) - 1))
-                    starts = np.arange(last - first + 1)
-                    starts = starts[np.where(starts <= anchor - half, r["go_left"], r["go_right"])]
-                    prefix = common.prefix_hash(part)
-                    name.append(common.span_hash(prefix, starts, starts + window).view(np.int64))
-                    key.append(np.full(len(starts), r["key"], np.int64))
-                    uid.append(np.full(len(starts), u, np.int64))
-                    at.append(starts + first)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for v in (key, name, uid, at)], names=["key", "name", "uid", "at"])
+                    out.append((r["key"], u, first, last, r["sides"], text[first : last + window]))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [*[pa.int64()] * 4, pa.int32(), pa.binary()], strict=True)], names=["key", "uid", "first", "last", "sides", "bytes"])
+
+    return run
+
+
+def _groups(part: bytes, first: int, last: int, sides: int, window: int):
+    """Prefix hash of a run's bytes, and for each group of offsets with windows in the run: group, window starts from and to, core start and end."""
+    data = np.frombuffer(part, np.uint8)
+    anchor = int(_anchors(_names(data[: window], SEED_BYTES), window)[0])
+    half, n = _half(window), last - first + 1
+    out = []
+    for g in range((anchor - (n - 1)) // OFFSETS, anchor // OFFSETS + 1):
+        # offsets g * OFFSETS to one less than the next group's, those at most that the run has
+        low, high = max(g * OFFSETS, anchor - (n - 1)), min((g + 1) * OFFSETS - 1, anchor)
+        side = 1 if g * OFFSETS >= half else 2
+        if low <= high and sides & side:
+            out.append((g, anchor - high, anchor - low, anchor - g * OFFSETS, anchor - (g + 1) * OFFSETS + 1 + window))
+    return common.prefix_hash(data), out
+
+
+def _round_three(window):
+    def run(batches):
+        for b in batches:
+            rows: list[tuple] = []
+            for key, u, first, last, sides, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                prefix, groups = _groups(part, first, last, sides, window)
+                if groups:
+                    g, a, z, c0, c1 = np.array(groups, np.int64).T
+                    m = np.full(len(g), 1, np.int64)
+                    rows.append((m * key, m * u, m * first, (a + first) << 32 | (z + first), g, common.span_hash(prefix, c0, c1), common.span_hash(prefix, a, z + window)))
+            yield _emit(rows, ["key", "uid", "first", "span", "grp", "core", "whole"])
+
+    return run
+
+
+def _round_four(window):
+    """Runs with the spans whose windows are named one by one: key, name, uid, at."""
+
+    def run(batches):
+        for b in batches:
+            rows: list[tuple] = []
+            for key, u, first, part, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                prefix = common.prefix_hash(np.frombuffer(part, np.uint8))
+                starts = np.concatenate([np.arange(s >> 32, (s & 0xFFFFFFFF) + 1) for s in spans]) - first
+                m = np.full(len(starts), 1, np.int64)
+                rows.append((m * key, common.span_hash(prefix, starts, starts + window), m * u, starts + first))
+            yield _emit(rows, ["key", "name", "uid", "at"])
 
     return run
 
@@ -189,13 +267,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
         return distinct.filter(F.col(side) != 0).groupBy("key", side).agg(F.count("*").alias("m")).filter("m > 1").select("key", side, F.lit(True).alias(f"go_{side}"))
 
     todo = distinct.join(shared("left"), ["key", "left"], "left").join(shared("right"), ["key", "right"], "left")
-    todo = todo.select("uid", F.struct("key", "span", F.coalesce("go_left", F.lit(False)).alias("go_left"), F.coalesce("go_right", F.lit(False)).alias("go_right")).alias("r"))
-    todo = todo.filter("r.go_left or r.go_right").groupBy("uid").agg(F.collect_list("r").alias("todo"))
-    windows = scratch.keep(named.join(todo, "uid").select("doc_id", "uid", "text", "todo").mapInArrow(_windows(window), "key long, name long, uid long, at long"))
+    sides = F.when(F.col("go_left"), 1).otherwise(0) + F.when(F.col("go_right"), 2).otherwise(0)
+    todo = todo.select("uid", F.struct("key", "span", sides.alias("sides")).alias("r")).filter("r.sides > 0").groupBy("uid").agg(F.collect_list("r").alias("todo"))
+    cut = named.join(todo, "uid").select("uid", "text", "todo").mapInArrow(_cut_runs(window), "key long, uid long, first long, last long, sides int, bytes binary")
+    parts = scratch.keep(cut.dropDuplicates(["uid", "first"]))
+
+    groups = scratch.keep(parts.mapInArrow(_round_three(window), "key long, uid long, first long, span long, grp long, core long, whole long"))
+    kinds = groups.groupBy("key", "core", "grp", "whole").agg(F.count("*").alias("n"), F.min(F.struct("uid", "first", "span")).alias("one"))
+    kinds = scratch.keep(kinds.select("key", "core", "grp", "whole", "n", "one.uid", "one.first", "one.span"))
+    some = groups.join(kinds.filter("n > 1").select("key", "core", "grp", "whole"), ["key", "core", "grp", "whole"]).select("uid", "span")
+    mixed = kinds.join(kinds.groupBy("key", "core", "grp").agg(F.count("*").alias("m")).filter("m > 1"), ["key", "core", "grp"])
+    mixed = mixed.groupBy("uid", "first").agg(F.collect_list("span").alias("spans"))
+    left = parts.select("key", "uid", "first", "bytes").join(mixed, ["uid", "first"]).select("key", "uid", "first", "bytes", "spans")
+    windows = scratch.keep(left.mapInArrow(_round_four(window), "key long, name long, uid long, at long"))
     twice = windows.groupBy("key", "name").agg(F.count("*").alias("n")).filter("n > 1").select("key", "name")
     single = windows.join(twice, ["key", "name"]).select("uid", F.col("at").bitwiseOR(F.shiftleft(F.col("at"), 32)).alias("span"))
     whole = alive.join(distinct.filter("n > 1").select("key", "whole"), ["key", "whole"]).select("uid", "span")
-    spans = whole.unionByName(single).groupBy("uid").agg(F.collect_set("span").alias("spans"))
+    spans = whole.unionByName(some).unionByName(single).groupBy("uid").agg(F.collect_set("span").alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return named.join(spans, "uid", "left").select("doc_id", "uid", "text", "spans").mapInArrow(_remove(window, with_text), schema)
 
