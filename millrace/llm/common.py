@@ -152,11 +152,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hash of bytes, one entry more than there are bytes."""
+    """Running polynomial hash of bytes or code points, one entry more than there are."""
     up, _ = _power_tables(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=out[1:])
+        code = _BYTE_CODE[data] if data.dtype == np.uint8 else mix(data.astype(np.uint64) + np.uint64(1))
+        np.cumsum(code * up[: len(data)], out=out[1:])
     return out
 
 
@@ -174,8 +175,15 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray) -> np.ndarray:
+    """Hash of each word, in stretches of about a megabyte that end between words."""
     start, end = word_spans(data)
-    return span_hash(prefix_hash(data), start, end)
+    out, at = [], 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + (1 << 20), side="right")))
+        base = start[at]
+        out.append(span_hash(prefix_hash(data[base : end[to - 1]]), start[at:to] - base, end[at:to] - base))
+        at = to
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 _UPPER = np.arange(256, dtype=np.uint8)
