@@ -3,9 +3,10 @@
 Documents with equal sets are one class. Each of several independent trees sends a class
 down paths chosen by the node itself: a node picks two of the 128 minwise positions and a
 class follows the tokens it has there. Nodes of up to SMALL classes are compared
-exhaustively by signature. In a larger node every class is compared with the node's
-leader; those that resemble it stop there, linked, and the rest branch on, so a huge group
-of near copies costs its size and never its square. Candidate pairs are confirmed on the
+exhaustively by signature. In a larger node every class is compared with LEADERS classes
+of the node, the ones that share most tokens with a sample's commonest; those that resemble one stop there, linked to it, and the rest, linked to all
+that they may be similar to, branch on, so a huge group of near copies costs its size and
+never its square. Candidate pairs are confirmed on the
 full sets: first a spanning forest of each node, then, knowing the components that gave,
 every candidate pair between different components.
 
@@ -25,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import common, graph
@@ -35,6 +36,9 @@ NUM, DEN = 75, 100
 POSITIONS = 128
 TREES = 5
 SMALL = 64
+LEADERS = 8
+#: Classes of a large node whose commonest tokens say which classes are central.
+SAMPLE = 48
 #: Of POSITIONS equal: fewer make no candidate; so many let a class rest at a leader.
 CANDIDATE, RESEMBLES = 78, 101
 #: Ids that may be broadcast to pick texts; beyond it the texts are joined by a shuffle.
@@ -101,25 +105,57 @@ def _plant(trees: int):
     return run
 
 
+def _commonest(batches):
+    """(node, sigs) to the commonest token at each position."""
+    for b in batches:
+        out = []
+        for sigs in b.column(1).to_pylist():
+            x = np.sort(np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, POSITIONS), axis=0)
+            run, best, token = np.ones(POSITIONS, int), np.ones(POSITIONS, int), x[0].copy()
+            for i in range(1, len(x)):
+                run = np.where(x[i] == x[i - 1], run + 1, 1)
+                token, best = np.where(run > best, x[i], token), np.maximum(run, best)
+            out.append(token.astype(np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["node", "middle"])
+
+
+def _agreement(batches):
+    """(node, cls, sig, middle) to the count of positions at which sig has the commonest token."""
+    for b in batches:
+        if b.num_rows:
+            same = (_signatures(b.column(2)) == _signatures(b.column(3))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.int32())], names=["node", "cls", "same"])
+
+
 def _star(batches):
-    """(node, cls, sig, leader, lsig) to kind 0: candidate (a, b); kind 1: rows that branch on (node, a)."""
+    """(node, cls, sig, leaders, lsigs) to kind 0: candidate (a, b); kind 1: rows that branch on (node, a).
+
+    A class that resembles a leader gets that one link; any other gets a link to each
+    leader that it may be similar to, and goes on.
+    """
     for b in batches:
         if not b.num_rows:
             continue
-        sig, lead = _signatures(b.column(2)), _signatures(b.column(4))
-        same = (sig == lead).sum(axis=1)
-        cls, leader = b.column(1), b.column(3)
-        link = np.flatnonzero((same >= CANDIDATE) & np.array([x != y for x, y in zip(cls.to_pylist(), leader.to_pylist(), strict=True)]))
-        on = np.flatnonzero(same < RESEMBLES)
-        nodes = _children(b.column(0).to_numpy().view(np.uint64)[on], sig[on]).view(np.int64)
-        k = len(link)
-        rest = np.repeat(on, 2)
+        node, cls, sig = b.column(0).to_numpy().view(np.uint64), b.column(1).to_pylist(), _signatures(b.column(2))
+        ends, on = [], []
+        for i, (names, sigs) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+            same = (np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, POSITIONS) == sig[i]).sum(axis=1)
+            best = int(same.argmax())
+            if same[best] >= RESEMBLES:
+                if names[best] != cls[i]:
+                    ends.append((cls[i], names[best]))
+            else:
+                ends += [(cls[i], x) for x, n in zip(names, same, strict=True) if n >= CANDIDATE]
+                on.append(i)
+        on = np.array(on, np.int64)
+        nodes = _children(node[on], sig[on]).view(np.int64).ravel() if len(on) else np.zeros(0, np.int64)
+        k, rest = len(ends), [cls[i] for i in np.repeat(on, 2)]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate([np.zeros(k, np.int32), np.ones(len(rest), np.int32)])),
-                pa.array(np.concatenate([np.zeros(k, np.int64), nodes.ravel()])),
-                cls.take(pa.array(np.concatenate([link, rest]))),
-                pa.concat_arrays([leader.take(pa.array(link)), pa.nulls(len(rest), leader.type)]),
+                pa.array([0] * k + [1] * len(rest), pa.int32()),
+                pa.array(np.concatenate([np.zeros(k, np.int64), nodes])),
+                pa.array([x for x, _ in ends] + rest, pa.binary()),
+                pa.array([x for _, x in ends] + [None] * len(rest), pa.binary()),
             ],
             names=["kind", "node", "a", "b"],
         )
@@ -235,10 +271,17 @@ def classes_and_links(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
         big = live.filter(F.col("size") > SMALL)
         if big.isEmpty():
             break
-        lead = sigs.select(F.col("cls").alias("leader"), F.col("sig").alias("lsig"))
-        # one row per node is joined with its leader's signature, then rows with their node
-        heads = big.groupBy("node").agg(F.min("cls").alias("leader")).join(lead, "leader")
-        met = big.select("node", "cls").join(sigs.select("cls", "sig"), "cls").join(heads, "node").select("node", "cls", "sig", "leader", "lsig")
+        signed = scratch.keep(big.select("node", "cls").join(sigs.select("cls", "sig"), "cls").select("node", "cls", "sig"))
+        # both picks are top-n a node, cut down in each task before they are dealt by node
+        some = Window.partitionBy("node").orderBy(F.xxhash64("cls"))
+        some = signed.withColumn("n", F.row_number().over(some)).filter(F.col("n") <= SAMPLE).groupBy("node").agg(F.collect_list("sig").alias("sigs"))
+        middle = some.mapInArrow(_commonest, "node long, middle binary")
+        near = signed.join(middle, "node").mapInArrow(_agreement, "node long, cls binary, same int")
+        best = Window.partitionBy("node").orderBy(F.desc("same"), "cls")
+        led = near.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= LEADERS).select("node", F.col("cls").alias("leader"))
+        led = led.join(sigs.select(F.col("cls").alias("leader"), F.col("sig").alias("lsig")), "leader")
+        heads = led.groupBy("node").agg(F.collect_list("leader").alias("leaders"), F.collect_list("lsig").alias("lsigs"))
+        met = signed.join(scratch.keep(heads), "node").select("node", "cls", "sig", "leaders", "lsigs")
         out = scratch.keep(met.mapInArrow(_star, "kind int, node long, a binary, b binary"))
         linked.append(out.filter("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         rows = out.filter("kind = 1").select("node", F.col("a").alias("cls"))
