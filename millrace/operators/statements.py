@@ -80,6 +80,71 @@ QUERIES: dict[str, Query] = {
 }
 
 
+def _refused(*statements: str, table: str = _NATION, load: str = _LOAD, answer: str = "select * from n"):
+    """The state after statements that a constraint refuses."""
+
+    def build(spark: SparkSession, folder: str) -> DataFrame:
+        e = engine(spark)
+        tables.read(spark, folder, "nation").createOrReplaceTempView("source")
+        e.sql(table)
+        e.sql(load)
+        for s in statements:
+            try:
+                e.sql(s)
+            except ValueError:
+                continue
+            raise AssertionError(f"not refused: {s}")
+        return e.sql(answer).df
+
+    return build
+
+
+def _tags(spark: SparkSession, folder: str) -> DataFrame:
+    """The tags of statements of each kind."""
+    e = engine(spark)
+    run = ("begin", _NATION, "insert into n values (1, 'a', 1), (2, 'b', 2)", "update n set n_name = 'c' where n_nationkey = 1", "delete from n", "truncate table n", "drop table n", "set x = 1", "show x", "commit")
+    return spark.createDataFrame([(i, e.sql(s).tag) for i, s in enumerate(run)], "i int, tag string")
+
+
+def _written(spark: SparkSession, folder: str) -> DataFrame:
+    """A table written as a part and read again, two columns of it."""
+    e = engine(spark)
+    part = e.store.write(tables.read(spark, folder, "part"))
+    return spark.read.parquet(part).select("p_partkey", "p_brand")
+
+
+_PAIR = {"table": "create table n (a int, b int, v text, primary key (a, b))", "load": "insert into n select n_regionkey, n_nationkey, n_name from source"}
+_PAIRS = "select n_regionkey as a, n_nationkey as b, n_name as v from nation"
+_TAGS = ("BEGIN", "CREATE TABLE", "INSERT 0 2", "UPDATE 1", "DELETE 2", "TRUNCATE TABLE", "DROP TABLE", "SET", "SHOW", "COMMIT")
+
+QUERIES |= {
+    "dml_insert_atomic": Query(_refused("insert into n values (300, 'new', 1), (301, 'new', 1), (300, 'twice', 2)"), _ALL),
+    "con_not_null": Query(_refused("insert into n values (300, null, 1)", "update n set n_name = null where n_nationkey = 1"), _ALL),
+    "con_pk": Query(_refused("insert into n values (0, 0, 'again')", "insert into n values (null, 900, 'x')", "update n set b = 0, a = 0", **_PAIR), _PAIRS),
+    "con_unique": Query(_refused("insert into n values (400, 'NATION_1', 1)", table="create table n (n_nationkey int, n_name text unique, n_regionkey int)"), _ALL),
+    "index_unique": Query(_refused("insert into n values (3, 'x', 1)", answer="select * from n where n_nationkey = 3"), f"{_ALL} where n_nationkey = 3"),
+    "index_pk_composite": Query(_refused("insert into n values (0, 0, 'again')", answer="select v from n where a = 0 and b = 0", **_PAIR), "select n_name as v from nation where n_regionkey = 0 and n_nationkey = 0"),
+    "dml_tags": Query(_tags, " union all ".join(f"select {i} as i, '{t}' as tag" for i, t in enumerate(_TAGS))),
+    "file_segment_write": Query(_written, "select p_partkey, p_brand from part"),
+    "seq_create": _state("select 1::int as id, 'a' as v", "create table s (id serial, v text)", "insert into s (v) values ('a')", answer="select * from s"),
+    "wire_simple": _state("select count(*) as c from nation", answer="select count(*) as c from public.n"),
+    "vec_dim_error": Query(lambda spark, folder: _dimension_error(spark), "select 'different vector dimensions' as message"),
+}
+
+
+def _dimension_error(spark: SparkSession) -> DataFrame:
+    e = engine(spark)
+    e.sql("create table v (vec vector(2))")
+    e.sql("insert into v values ('[1,2]')")
+    try:
+        e.sql("select vec <-> '[1,2,3]' as d from v").df.collect()
+    except Exception as x:  # noqa: BLE001  Spark raises its own kinds
+        found = "different vector dimensions" if "different vector dimensions" in str(x) else "another error"
+    else:
+        found = "no error"
+    return spark.createDataFrame([(found,)], "message string")
+
+
 def _reopened(spark: SparkSession, folder: str) -> DataFrame:
     """The state that an engine opened anew finds."""
     e = engine(spark)
