@@ -35,12 +35,16 @@ WORDS = 5
 NUM, DEN = 75, 100
 POSITIONS = 128
 TREES = 5
-SMALL = 64
+SMALL = 512
+#: Pairs of signatures that are compared at a time.
+PAIRS = 16_384
 LEADERS = 8
 #: Classes of a large node whose commonest tokens say which classes are central.
 SAMPLE = 48
-#: Of POSITIONS equal: fewer make no candidate; so many let a class rest at a leader.
-CANDIDATE, RESEMBLES = 78, 101
+#: Of POSITIONS equal: fewer make no candidate; so many let a class rest at its leaders; so many make one link enough.
+CANDIDATE, RESEMBLES, CLOSE = 78, 90, 101
+#: Large nodes whose leaders' signatures may be broadcast (16 MB); beyond it they are joined.
+BROADCAST_NODES = 4096
 #: Ids that may be broadcast to pick texts; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -127,38 +131,50 @@ def _agreement(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.int32())], names=["node", "cls", "same"])
 
 
-def _star(batches):
-    """(node, cls, sig, leaders, lsigs) to kind 0: candidate (a, b); kind 1: rows that branch on (node, a).
+def _star(heads):
+    """(node, cls, sig), and leaders and lsigs unless heads has them by node, to kind 0: candidate (a, b); kind 1: rows that branch on (node, a).
 
-    A class that resembles a leader gets that one link; any other gets a link to each
-    leader that it may be similar to, and goes on.
+    A class that is close to a leader gets that one link; any other gets a link to each
+    leader that it may be similar to, and goes on if it does not resemble one.
     """
-    for b in batches:
-        if not b.num_rows:
-            continue
-        node, cls, sig = b.column(0).to_numpy().view(np.uint64), b.column(1).to_pylist(), _signatures(b.column(2))
-        ends, on = [], []
-        for i, (names, sigs) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
-            same = (np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, POSITIONS) == sig[i]).sum(axis=1)
-            best = int(same.argmax())
-            if same[best] >= RESEMBLES:
-                if names[best] != cls[i]:
-                    ends.append((cls[i], names[best]))
-            else:
-                ends += [(cls[i], x) for x, n in zip(names, same, strict=True) if n >= CANDIDATE]
-                on.append(i)
-        on = np.array(on, np.int64)
-        nodes = _children(node[on], sig[on]).view(np.int64).ravel() if len(on) else np.zeros(0, np.int64)
-        k, rest = len(ends), [cls[i] for i in np.repeat(on, 2)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([0] * k + [1] * len(rest), pa.int32()),
-                pa.array(np.concatenate([np.zeros(k, np.int64), nodes])),
-                pa.array([x for x, _ in ends] + rest, pa.binary()),
-                pa.array([x for _, x in ends] + [None] * len(rest), pa.binary()),
-            ],
-            names=["kind", "node", "a", "b"],
-        )
+
+    def run(batches):
+        known = heads.value if heads is not None else None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at, cls, sig = b.column(0).to_numpy(), b.column(1).to_pylist(), _signatures(b.column(2))
+            ends, on = [], []
+            by = {}
+            for i, n in enumerate(at.tolist()):
+                by.setdefault(n, []).append(i)
+            for n, rows in by.items():
+                names, sigs = known[n] if known is not None else (b.column(3)[rows[0]].as_py(), b.column(4)[rows[0]].as_py())
+                lead = np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, POSITIONS)
+                same = np.stack([(sig[rows] == x).sum(axis=1) for x in lead], axis=1)
+                for i, row in zip(rows, same, strict=True):
+                    best = int(row.argmax())
+                    if row[best] >= CLOSE:
+                        if names[best] != cls[i]:
+                            ends.append((cls[i], names[best]))
+                        continue
+                    ends += [(cls[i], x) for x, k in zip(names, row, strict=True) if k >= CANDIDATE]
+                    if row[best] < RESEMBLES:
+                        on.append(i)
+            on = np.array(on, np.int64)
+            nodes = _children(at.view(np.uint64)[on], sig[on]).view(np.int64).ravel() if len(on) else np.zeros(0, np.int64)
+            k, rest = len(ends), [cls[i] for i in np.repeat(on, 2)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([0] * k + [1] * len(rest), pa.int32()),
+                    pa.array(np.concatenate([np.zeros(k, np.int64), nodes])),
+                    pa.array([x for x, _ in ends] + rest, pa.binary()),
+                    pa.array([x for _, x in ends] + [None] * len(rest), pa.binary()),
+                ],
+                names=["kind", "node", "a", "b"],
+            )
+
+    return run
 
 
 def _pairs_of(size: int, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,15 +208,16 @@ def _compare(spanning: bool):
             got = []
             for s in np.unique(size[size > 1]):
                 of = start[size == s]
-                step = max(1, 100_000 // int(s * s))
+                step = max(1, 2 * PAIRS // int(s * s))
                 for k in range(0, len(of), step):
                     part = of[k : k + step]
                     at = (part[:, None] + np.arange(s)).ravel()
                     i, j = _pairs_of(int(s), len(part))
-                    i, j = at[i], at[j]
-                    same = (sig[i] == sig[j]).sum(axis=1)
-                    ok = same >= CANDIDATE
-                    got.append((same[ok], i[ok], j[ok]))
+                    for p in range(0, len(i), PAIRS):
+                        x, y = at[i[p : p + PAIRS]], at[j[p : p + PAIRS]]
+                        same = (sig[x] == sig[y]).sum(axis=1)
+                        ok = same >= CANDIDATE
+                        got.append((same[ok], x[ok], y[ok]))
             if not got:
                 return
             same, i, j = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -276,13 +293,18 @@ def classes_and_links(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
         some = Window.partitionBy("node").orderBy(F.xxhash64("cls"))
         some = signed.withColumn("n", F.row_number().over(some)).filter(F.col("n") <= SAMPLE).groupBy("node").agg(F.collect_list("sig").alias("sigs"))
         middle = some.mapInArrow(_commonest, "node long, middle binary")
-        near = signed.join(middle, "node").mapInArrow(_agreement, "node long, cls binary, same int")
+        near = signed.join(middle, "node").select("node", "cls", "sig", "middle").mapInArrow(_agreement, "node long, cls binary, same int")
         best = Window.partitionBy("node").orderBy(F.desc("same"), "cls")
         led = near.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= LEADERS).select("node", F.col("cls").alias("leader"))
         led = led.join(sigs.select(F.col("cls").alias("leader"), F.col("sig").alias("lsig")), "leader")
         heads = led.groupBy("node").agg(F.collect_list("leader").alias("leaders"), F.collect_list("lsig").alias("lsigs"))
-        met = signed.join(scratch.keep(heads), "node").select("node", "cls", "sig", "leaders", "lsigs")
-        out = scratch.keep(met.mapInArrow(_star, "kind int, node long, a binary, b binary"))
+        heads = scratch.keep(heads)
+        if heads.count() <= BROADCAST_NODES:
+            sent = docs.sparkSession.sparkContext.broadcast({r.node: (list(map(bytes, r.leaders)), list(map(bytes, r.lsigs))) for r in heads.toLocalIterator()})
+            starred = signed.mapInArrow(_star(sent), "kind int, node long, a binary, b binary")
+        else:
+            starred = signed.join(heads, "node").select("node", "cls", "sig", "leaders", "lsigs").mapInArrow(_star(None), "kind int, node long, a binary, b binary")
+        out = scratch.keep(starred)
         linked.append(out.filter("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         rows = out.filter("kind = 1").select("node", F.col("a").alias("cls"))
     nodes = small[0]
