@@ -8,7 +8,10 @@ of the node, the ones that share most tokens with a sample's commonest; those th
 that they may be similar to, branch on, so a huge group of near copies costs its size and
 never its square. Candidate pairs are confirmed on the
 full sets: first a spanning forest of each node, then, knowing the components that gave,
-every candidate pair between different components.
+every candidate pair between different components. For the latter no class of a large node
+rests: the strays, those outside the node's commonest component, meet every class of the
+node, and a node of too many strays branches with all its classes (``_unsettled``). Only
+classes of one component are never compared again.
 
 A pair of the least similarity shares a path with probability 15/16 a tree at the first
 level and at least 8/9 at any depth, so five trees miss one in 10^5 or fewer, and the
@@ -23,6 +26,7 @@ an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,10 @@ LEADERS = 8
 SAMPLE = 48
 #: Of POSITIONS equal: fewer make no candidate; so many let a class rest at its leaders; so many make one link enough.
 CANDIDATE, RESEMBLES, CLOSE = 78, 90, 101
+#: A large node of more strays branches, so often at most where one component dominates it and elsewhere; then its strays are compared however many.
+STRAYS, DOMINATED, MIXED = 512, 3, 12
+#: Strays that are broadcast at a time (8 MB of signatures).
+BLOCK = 16_384
 #: Large nodes whose leaders' signatures may be broadcast (16 MB); beyond it they are joined.
 BROADCAST_NODES = 4096
 #: Ids that may be broadcast to pick texts; beyond it the texts are joined by a shuffle.
@@ -254,6 +262,70 @@ def _compare(spanning: bool):
     return run
 
 
+def _branch(batches):
+    """(node, cls, sig) to the child nodes (node, cls)."""
+    for b in batches:
+        if b.num_rows:
+            nodes = _children(b.column(0).to_numpy().view(np.uint64), _signatures(b.column(2)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64).ravel()), b.column(1).take(pa.array(np.repeat(np.arange(len(nodes)), 2)))], names=["node", "cls"])
+
+
+def _against(strays):
+    """(node, cls, sig, root) to the candidate pairs (a, b) with strays of the node that have another root."""
+
+    def run(batches):
+        known = {n: (names, roots, np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, POSITIONS)) for n, (names, roots, sigs) in strays.value.items()}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cls, root, sig = b.column(1).to_pylist(), b.column(3).to_pylist(), _signatures(b.column(2))
+            by, found = {}, set()
+            for i, n in enumerate(b.column(0).to_pylist()):
+                if n in known:
+                    by.setdefault(n, []).append(i)
+            for n, rows in by.items():
+                names, roots, sigs = known[n]
+                for i in rows:
+                    for p in range(0, len(names), PAIRS):
+                        for j in p + np.flatnonzero((sigs[p : p + PAIRS] == sig[i]).sum(axis=1) >= CANDIDATE):
+                            if roots[j] != root[i]:
+                                found.add((min(cls[i], names[j]), max(cls[i], names[j])))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
+
+    return run
+
+
+def _unsettled(rows: DataFrame, sigs: DataFrame, roots: DataFrame, scratch: common.Scratch, small: int):
+    """The classes of large nodes (node, cls) that may have links between components:
+    candidate pairs (a, b), and the small nodes (node, cls) to compare exhaustively."""
+    sc, of = rows.sparkSession.sparkContext, roots.select(F.col("node").alias("cls"), "root")
+    pairs, nodes, depth = [], [], 0
+    while True:
+        rooted = scratch.keep(rows.join(of, "cls", "left").select("node", "cls", F.coalesce("root", "cls").alias("root")))
+        by = rooted.groupBy("node", "root").agg(F.count("*").alias("n"))
+        mixed = by.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("main"))
+        mixed = mixed.select("node", "size", (F.col("size") - F.col("main.n")).alias("strays"), F.col("main.root").alias("main")).filter("strays > 0")
+        live = scratch.keep(rooted.join(mixed, "node").withColumn("on", F.expr(f"strays > {STRAYS} and {depth} < if(2 * strays > size, {MIXED}, {DOMINATED})")))
+        nodes.append(live.filter(F.col("size") <= small).select("node", "cls"))
+        big = live.filter(F.col("size") > small)
+        if big.isEmpty():
+            return pairs, nodes
+        signed = scratch.keep(big.join(sigs.select("cls", "sig"), "cls").select("node", "cls", "sig", "root", "main", "on"))
+        met = signed.filter("not on")
+        strays = met.filter("root != main")
+        blocks = -(-strays.count() // BLOCK)
+        for k in range(blocks):
+            held: dict[int, tuple[list, list, list]] = {}
+            for r in strays.filter(F.pmod(F.xxhash64("node", "cls"), F.lit(blocks)) == k).select("node", "cls", "root", "sig").toLocalIterator():
+                for x, y in zip(held.setdefault(r.node, ([], [], [])), r[1:], strict=True):
+                    x.append(bytes(y))
+            sent = sc.broadcast(held)
+            pairs.append(scratch.keep(met.select("node", "cls", "sig", "root").mapInArrow(_against(sent), "a binary, b binary").distinct()))
+            sent.unpersist()
+        depth += 1
+        rows = signed.filter("on").select("node", "cls", "sig").mapInArrow(_branch, "node long, cls binary")
+
+
 def _confirm(num, den):
     def run(batches):
         for b in batches:
@@ -272,7 +344,7 @@ def _confirm(num, den):
     return run
 
 
-def classes_and_links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, trees: int = TREES):
+def classes_and_links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, trees: int = TREES, small_node: int = SMALL):
     """(described, links, roots, scratch): the documents with their class, the confirmed links
     between classes, and (node, root) of every class that has one."""
     scratch = common.Scratch(docs.sparkSession)
@@ -280,14 +352,15 @@ def classes_and_links(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     # Equal sets have equal signatures: any row's will do.
     sigs = scratch.keep(described.filter("cls is not null").groupBy("cls").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("of")))
     rows = scratch.keep(sigs.select("cls", "sig").mapInArrow(_plant(trees), "node long, cls binary"))
-    linked, small = [], []
+    linked, small, large = [], [], None
     while True:
         sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         live = scratch.keep(rows.join(sizes, "node"))
-        small.append(live.filter(F.col("size") <= SMALL).select("node", "cls"))
-        big = live.filter(F.col("size") > SMALL)
+        small.append(live.filter(F.col("size") <= small_node).select("node", "cls"))
+        big = live.filter(F.col("size") > small_node)
         if big.isEmpty():
             break
+        large = big.select("node", "cls") if large is None else large
         signed = scratch.keep(big.select("node", "cls").join(sigs.select("cls", "sig"), "cls").select("node", "cls", "sig"))
         # both picks are top-n a node, cut down in each task before they are dealt by node
         some = Window.partitionBy("node").orderBy(F.xxhash64("cls"))
@@ -307,12 +380,12 @@ def classes_and_links(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
         out = scratch.keep(starred)
         linked.append(out.filter("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         rows = out.filter("kind = 1").select("node", F.col("a").alias("cls"))
-    nodes = small[0]
-    for x in small[1:]:
-        nodes = nodes.unionByName(x)
     picks = docs.select("doc_id", "text")
 
-    def compared(roots):
+    def union(of):
+        return reduce(DataFrame.unionByName, of)
+
+    def compared(nodes, roots):
         met = nodes.join(sigs.select("cls", "sig"), "cls")
         met = met.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left") if roots is not None else met.withColumn("root", F.lit(None).cast("binary"))
         met = met.withColumn("root", F.coalesce("root", "cls")).repartition("node").sortWithinPartitions("node").select("node", "cls", "sig", "root")
@@ -329,13 +402,12 @@ def classes_and_links(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
         met = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
         return scratch.keep(met.mapInArrow(_confirm(num, den), "a binary, b binary").distinct())
 
-    first = compared(None)
-    for x in linked:
-        first = first.unionByName(x)
-    first = scratch.keep(first.distinct())
+    first = scratch.keep(union([compared(union(small), None), *linked]).distinct())
     links = confirmed(first)
     roots = graph.components(links, scratch)
-    second = scratch.keep(compared(roots).distinct().join(first, ["a", "b"], "left_anti"))
+    pairs, nodes = _unsettled(large, sigs, roots, scratch, small_node) if large is not None else ([], [])
+    second = union([compared(union(small + nodes), roots), *pairs]).distinct()
+    second = scratch.keep(second.join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         links = links.unionByName(confirmed(second))
         roots = graph.components(links, scratch)

@@ -392,3 +392,24 @@ def test_op10_large_group(spark):
         rows.append((i, " ".join(words)))
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in records(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))))
     assert got == sorted(components(rows))
+
+
+def test_op10_pairs_away_from_the_original(spark):
+    """Pairs in a large group that resemble its original, but are linked to each other alone."""
+    rng = random.Random(11)
+    base = prose(rng, 160).split()
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(1 + rng.randrange(3) if i else 0):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(9999)}"
+        rows.append((i, " ".join(words)))
+    for i in range(40):
+        at = rng.randrange(130)
+        words = base[:at] + [f"p{i}n{k}" for k in range(21)] + base[at + 21 :]
+        again = list(words)
+        again[(at + 80) % 150] = "other"
+        rows += [(1000 + 2 * i, " ".join(words)), (1001 + 2 * i, " ".join(again))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in records(near_dedup.near_duplicates(df, small_node=32)))
+    assert got == sorted(components(rows))
