@@ -2,7 +2,9 @@
 
 A line is removed if an equal line, or one within ``edits`` edits (insertions, deletions,
 substitutions of code points), stands earlier in the corpus: in a smaller doc_id, or
-higher up in the same text. Lines under ``shortest`` code points stay.
+higher up in the same text. Lines under ``shortest`` code points are matched by equality
+alone, down to ``copies`` code points; blank lines under ``shortest`` stay, as do lines
+under both.
 
 Every line is split into edits + 1 segments of even length. A line within the threshold of
 it holds one of them unchanged, at a place and length that the threshold bounds, so probes
@@ -34,6 +36,8 @@ from millrace.llm import common
 
 EDITS = 1
 SHORTEST = 40
+#: Least length of lines whose equal copies go.
+COPIES = 1
 CROWD = 32
 #: Lines whose texts may be picked by a broadcast of their names; beyond it they are joined.
 BROADCAST_LINES = 400_000
@@ -53,12 +57,16 @@ def name(line: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _lines(shortest):
+def _lines(shortest, copies):
+    def may_go(text):
+        # blank lines are no text: equal ones only go where they always did
+        return ((k, line) for k, line in eligible(text, copies) if not line.isspace() or next(eligible(line, shortest), None))
+
     def run(batches):
         for b in batches:
             rows = []
             for doc, u, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), common.texts(b), strict=True):
-                rows += [(*name(line), doc, u, k) for k, line in eligible(text, shortest)]
+                rows += [(*name(line), doc, u, k) for k, line in may_go(text)]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [*[pa.int64()] * 4, pa.int32()], strict=True)], names=["c1", "c2", "doc_id", "uid", "line"])
 
@@ -366,11 +374,14 @@ def _rewrite(batches):
         yield pa.RecordBatch.from_arrays([c for _, c in [*keep, *more]], names=[m for m, _ in [*keep, *more]])
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, crowd: int = CROWD) -> DataFrame:
-    """n_lines, n_removed, kept_sha256 and kept_text of every document, after its other columns."""
+def dedup_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, crowd: int = CROWD, copies: int | None = None) -> DataFrame:
+    """n_lines, n_removed, kept_sha256 and kept_text of every document, after its other columns.
+
+    copies: the least length of lines whose equal copies go; that of the edit join unless given.
+    """
     scratch = common.Scratch(docs.sparkSession)
     named = docs.withColumn("__uid", F.xxhash64("doc_id", "text"))
-    lines = scratch.keep(named.select("doc_id", "__uid", "text").mapInArrow(_lines(shortest), "c1 long, c2 long, doc_id long, uid long, line int"))
+    lines = scratch.keep(named.select("doc_id", "__uid", "text").mapInArrow(_lines(shortest, shortest if copies is None else min(copies, shortest)), "c1 long, c2 long, doc_id long, uid long, line int"))
     place = F.struct("doc_id", "uid", "line")
     firsts = scratch.keep(lines.groupBy("c1", "c2").agg(F.min(place).alias("first")))
     near = near_lines(docs.select("doc_id", "text"), edits, shortest, scratch, crowd)
@@ -390,7 +401,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, c
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+    return dedup_lines(docs, copies=COPIES).select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -398,7 +409,7 @@ def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     common.ship(spark)
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     row = docs.select("doc_id", "text", F.struct(*rest, F.col("text").isNull().alias("__null")).alias("__row"))
-    done = dedup_lines(row).filter("n_removed = 0 or length(kept_text) > 0")
+    done = dedup_lines(row, copies=COPIES).filter("n_removed = 0 or length(kept_text) > 0")
     out = {c: F.col(f"__row.`{c}`") for c in docs.columns if c != "text"} | {"text": F.when(~F.col("__row.__null"), F.col("kept_text"))}
     if "n_chars" in out:
         out["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])

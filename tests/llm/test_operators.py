@@ -207,6 +207,14 @@ def test_op4_awkward_rows(docs, none):
     assert line_dedup.stage_line_dedup(docs.sparkSession, none, "").count() == 0
 
 
+def test_op4_short_copies(spark):
+    rows = [(1, "one\n\none\n \n \ntwo"), (2, "two\nthree\n\n "), (3, "threes"), (4, "ü\nü")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {1: "one\n\n \n \ntwo", 2: "three\n\n ", 3: "threes", 4: "ü"}
+    assert {r.doc_id: r.kept_text for r in line_dedup.dedup_lines(df, copies=line_dedup.COPIES).collect()} == kept
+    assert {r.doc_id: r.text for r in line_dedup.stage_line_dedup(spark, df, "").collect()} == kept
+
+
 # Learnt scores
 
 
