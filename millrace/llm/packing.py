@@ -30,6 +30,8 @@ OPEN_BINS = 1024
 BLOCK = 65_536
 CACHED_WORDS = 300_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The tokeniser whose added tokens stand for their text wherever it occurs.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 class Ids(dict):
@@ -52,8 +54,19 @@ class Ids(dict):
         return out
 
 
-def encoder(vocabulary: str | None = None) -> Callable[[bytes], bytes]:
-    """A function from UTF-8 to little-endian uint32 ids. The vocabulary's path is a parameter."""
+def _added(path: str):
+    """The tokeniser of a JSON file, and its added tokens."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    return whole, [t.content for t in whole.get_added_tokens_decoder().values()]
+
+
+def encoder(vocabulary: str | None = None, tokenizer: str | None = None) -> Callable[[bytes], bytes]:
+    """A function from UTF-8 to little-endian uint32 ids. The vocabulary's path is a parameter.
+
+    tokenizer: the JSON whose added tokens count; a text with one is left to that tokeniser. Without it such tokens are plain text.
+    """
     import public_tokenizers
     import tiktoken
 
@@ -62,9 +75,12 @@ def encoder(vocabulary: str | None = None) -> Callable[[bytes], bytes]:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     cache = Ids(encode, CACHED_WORDS)
+    whole, added = _added(public_tokenizers.path(tokenizer)) if tokenizer else (None, [])
 
     def ids(text: bytes) -> bytes:
         s = text.decode()
+        if any(x in s for x in added):
+            return np.array(whole.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = s.split(" ")
         if first and not first[-1].isspace():
             try:
@@ -84,7 +100,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _tokenise(vocabulary, capacity, end_token, with_ids):
     def run(batches):
-        encode, end = encoder(vocabulary), np.array([end_token], "<u4").tobytes()
+        encode, end = encoder(vocabulary, None if vocabulary else TOKENIZER), np.array([end_token], "<u4").tobytes()
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for doc, text in zip(common.ids_of(b), common.texts(b), strict=True):

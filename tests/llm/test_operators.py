@@ -299,6 +299,18 @@ def test_op6_encoder(text):
     assert np.frombuffer(packing.encoder()(text.encode()), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_op6_added_tokens(spark):
+    """The operator's ids against the tokenizer as the contract sets it."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = list(enumerate(["a<|endoftext|>b", "<|endoftext|>", "a <|endoftext|> b\n<|endoftext|><|endoftext|>  c", "<|endoftext|", "x <|ENDOFTEXT|>"]))
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pieces(spark.createDataFrame(rows, "doc_id long, text string"), with_ids=True).collect()}
+    assert got == {k: [*t.encode(x, add_special_tokens=False).ids, packing.END_TOKEN] for k, x in rows}
+    assert got[0][:3] == [64, 50256, 65]
+
+
 def test_op6_best_fit_is_tight():
     rng = random.Random(9)
     lengths = [rng.randrange(1, 1024) for _ in range(20_000)]
