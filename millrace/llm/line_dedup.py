@@ -1,26 +1,28 @@
 """Line dedup by a segment-partition edit join.
 
-A line is removed if an equal line, or one within ``edits`` edits (insertions, deletions,
-substitutions of code points), stands earlier in the corpus: in a smaller doc_id, or
-higher up in the same text. Lines under ``shortest`` code points are matched by equality
-alone, down to ``copies`` code points; blank lines under ``shortest`` stay, as do lines
-under both.
-
-Every line is split into edits + 1 segments of even length. A line within the threshold of
-it holds one of them unchanged, at a place and length that the threshold bounds, so probes
-of substrings selected by length against the segments find every pair. Pairs are verified
-by edit distance in a band of diagonals, one bit each.
-
-Equal lines are one class from the first step on, and a task sends a class once. A key that
-more than ``crowd`` classes share is not expanded into pairs: the matched segment is cut
-out, and what is left of those lines is split and probed again, under that key. With the
-default of one edit the rest halves each time, so a crowded line is sent at most about as
-often as it has characters, however large the crowd; with more edits the bound is a power
-of that. After ``DEEPEST`` cuts lines agree in all but a few characters and are paired.
+A line is removed if an equal line, or one within the threshold of edits (insertions,
+deletions, substitutions of code points), stands earlier in the corpus: in a smaller doc_id,
+or higher up in the same text. The threshold grows with length: ``bands`` gives, by the
+length of the shorter line, how many edits are near. Lines under the first band are matched
+by equality alone, down to ``copies`` code points; blank lines under the first band stay, as
+do lines under both.
+
+A line of threshold k is split into k + 1 segments of even length. A line within the
+threshold of it holds one of them unchanged, at a place and length that the threshold
+bounds, so probes of substrings selected by length against the segments find every pair.
+Pairs are verified by edit distance in a band of diagonals, one bit each.
+
+Equal lines are one class from the first step on. A key that more than ``crowd`` classes
+share is not expanded into pairs. First its earliest line is compared with the others: what
+is near it is settled and asks no more. If few lines still ask, they are paired with the
+crowd. Otherwise the matched segment is cut out, and what is left of the lines is split and
+probed again, under that key, until so few characters are left that the lines agree in all
+but these. Nothing of a crowd is held in memory or compared all with all.
 
 Defined cases: a null or empty text has no lines; rows that repeat both id and text are one
 document; line breaks are \\n alone; an empty table gives an empty table; a text of any
-length is used whole.
+length is used whole; input columns may have any names, those of the results included, and
+then the result's stands.
 """
 
 from __future__ import annotations
@@ -34,14 +36,23 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 
-EDITS = 1
-SHORTEST = 40
+#: (least length, edits) of the production thresholds.
+BANDS = ((40, 1), (150, 2))
 #: Least length of lines whose equal copies go.
 COPIES = 1
 CROWD = 32
 #: Lines whose texts may be picked by a broadcast of their names; beyond it they are joined.
 BROADCAST_LINES = 400_000
-DEEPEST = 8
+#: Names of lines that a task remembers, so as not to send one twice; then it forgets them.
+REMEMBERED = 200_000
+
+Bands = tuple[tuple[int, int], ...]
+
+
+def edits_at(length: np.ndarray, bands: Bands) -> np.ndarray:
+    """The threshold of lines of the given lengths, -1 where they are too short for any."""
+    starts, edits = np.array([a for a, _ in bands]), np.array([-1, *(k for _, k in bands)], np.int64)
+    return edits[np.searchsorted(starts, length, side="right")]
 
 
 def eligible(text: bytes, shortest: int):
@@ -65,14 +76,25 @@ def _lines(shortest, copies):
     def run(batches):
         for b in batches:
             rows = []
-            for doc, u, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), common.texts(b), strict=True):
-                rows += [(*name(line), doc, u, k) for k, line in may_go(text)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [*[pa.int64()] * 4, pa.int32()], strict=True)], names=["c1", "c2", "doc_id", "uid", "line"])
+            for doc, u1, u2, text in zip(*(b.column(i).to_pylist() for i in range(3)), common.texts(b), strict=True):
+                rows += [(*name(line), doc, u1, u2, k) for k, line in may_go(text)]
+            yield _batch(rows, {"c1": "long", "c2": "long", "doc_id": "long", "u1": "long", "u2": "long", "line": "int"})
 
     return run
 
 
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "byte": pa.int8(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], columns: dict[str, str]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(columns)
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, t in zip(cols, columns.values(), strict=True)], names=list(columns))
+
+
+def _schema(columns: dict[str, str]) -> str:
+    return ", ".join(f"{c} {t}" for c, t in columns.items())
+
+
 def segments(length: np.ndarray, parts: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(start, size) of each segment of lines of the given lengths; the last ones are the longer."""
     base, longer = length // parts, length % parts
@@ -84,33 +106,36 @@ def segments(length: np.ndarray, parts: int) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
-def keys(prefix, start, length, edits: int, index: bool, probe: bool):
-    """Index and probe keys of lines that lie in one array: (line, key, side, segment start, segment size).
+#: A line's own segments, and substrings of it that are another's. A substring that is both has the sum.
+INDEX, PROBE = 1, 2
+
+
+def _key(prefix, start, at, size, of, i) -> np.ndarray:
+    h = common.span_hash(prefix, start + at, start + at + size)
+    with np.errstate(over="ignore"):
+        return common.mix(h * np.uint64(31) + (of.astype(np.uint64) << np.uint64(8)) + np.uint64(i)).view(np.int64)
 
-    side 0: a line's own segments. side 1: its substrings that a line no longer than
-    itself may hold as a segment, for every length within the threshold.
+
+def keys(prefix, start, length, edits, delta, sides):
+    """Keys of lines that lie in one array: (row, key, sides, segment start, segment size).
+
+    edits: each row's threshold. delta: by how much the lines it probes for are shorter.
+    Rows of delta 0 have their own segments and, at the same places, the same probes.
     """
-    parts, row = edits + 1, np.arange(len(start))
     out = []
-
-    def take(rows, at, size, i, of, side):
-        h = common.span_hash(prefix, start[rows] + at, start[rows] + at + size)
-        with np.errstate(over="ignore"):
-            h = common.mix(h * np.uint64(31) + (of.astype(np.uint64) << np.uint64(8)) + np.uint64(i))
-        out.append((rows, h.view(np.int64), np.full(len(rows), side, np.int8), at, size))
-
-    if index:
-        for i, (at, size) in enumerate(segments(length, parts)):
-            take(row, at, size, i, length, 0)
-    for delta in range(edits + 1) if probe else ():
-        of = length - delta
+    for k, d in {(int(k), int(d)) for k, d in zip(edits, delta, strict=True)}:
+        row = np.flatnonzero((edits == k) & (delta == d))
+        of, parts = length[row] - d, k + 1
         for i, (at, size) in enumerate(segments(of, parts)):
             # from the left at most i edits came before; from the right at most parts - 1 - i come after
-            low, high = max(-i, delta - (parts - 1 - i)), min(i, delta + (parts - 1 - i))
+            low, high = max(-i, d - (parts - 1 - i)), min(i, d + (parts - 1 - i))
             for shift in range(low, high + 1):
-                ok = row[(at + shift >= 0) & (at + shift + size <= length) & (of >= 0)]
-                take(ok, (at + shift)[ok], size[ok], i, of[ok], 1)
-    return [np.concatenate(c) for c in zip(*out, strict=True)]
+                ok = (at + shift >= 0) & (at + shift + size <= length[row])
+                both = sides if d == 0 and shift == 0 else sides & PROBE
+                if both:
+                    r, a, s = row[ok], (at + shift)[ok], size[ok]
+                    out.append((r, _key(prefix, start[r], a, s, of[ok], i), np.full(len(r), both, np.int8), a, s))
+    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
 
 
 def _points(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,8 +145,24 @@ def _points(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return common.prefix_hash(np.concatenate(points)), np.concatenate(([0], np.cumsum(length)[:-1])), length
 
 
-def _keys_of_lines(edits, shortest):
-    """(text) to (key, side, c1): each distinct line of a task once."""
+def whole_keys(lines: list[bytes], bands: Bands):
+    """Keys of whole lines: (row, key, sides, segment start, segment size, edits, delta)."""
+    prefix, start, length = _points(lines)
+    rows = []
+    for d in range(max(k for _, k in bands) + 1):
+        edits = edits_at(length - d, bands)  # the shorter line's
+        on = np.flatnonzero(edits >= d)
+        if len(on):
+            r, *rest = keys(prefix, start[on], length[on], edits[on], np.full(len(on), d), INDEX | PROBE)
+            rows.append([on[r], *rest, edits[on][r], np.full(len(r), d)])
+    return [np.concatenate(c) for c in zip(*rows, strict=True)]
+
+
+_KEYED = {"key": "long", "sides": "byte", "c1": "long"}
+
+
+def _keys_of_lines(bands):
+    """(text) to (key, sides, c1): each distinct line of a task once."""
 
     def run(batches):
         sent: set[int] = set()
@@ -129,18 +170,19 @@ def _keys_of_lines(edits, shortest):
             lines, c1 = [], []
 
             def full():
-                prefix, start, length = _points(lines)
-                row, key, side, _, _ = keys(prefix, start, length, edits, True, True)
-                got = pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), pa.array(np.array(c1, np.int64)[row])], names=["key", "side", "c1"])
+                row, key, sides, *_ = whole_keys(lines, bands)
+                got = pa.RecordBatch.from_arrays([pa.array(key), pa.array(sides), pa.array(np.array(c1, np.int64)[row])], names=list(_KEYED))
                 lines.clear()
                 c1.clear()
                 return got
 
             held = 0
             for text in common.texts(b):
-                for _, line in eligible(text, shortest):
+                for _, line in eligible(text, bands[0][0]):
                     n = name(line)[0]
                     if n not in sent:
+                        if len(sent) >= REMEMBERED:
+                            sent.clear()
                         sent.add(n)
                         lines.append(line)
                         c1.append(n)
@@ -154,8 +196,11 @@ def _keys_of_lines(edits, shortest):
     return run
 
 
+_MET = {"kind": "int", "key": "long", "sides": "byte", "c1": "long", "other": "long"}
+
+
 def _meet(crowd):
-    """(key, side, c1) sorted by key to pairs (kind 0: c1, other) and crowded rows (kind 1: key, side, c1)."""
+    """(key, sides, c1) sorted by key to pairs (kind 0: c1, other) and rows of large groups (kind 1: key, sides, c1)."""
 
     def run(batches):
         key, sides, crowded = None, ({}, {}), False
@@ -165,11 +210,6 @@ def _meet(crowd):
             if not crowded:
                 rows.extend((0, 0, 0, min(a, b), max(a, b)) for a in sides[0] for b in sides[1] if a != b)
 
-        def out():
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int64(), pa.int8(), pa.int64(), pa.int64()], strict=True)], names=["kind", "key", "side", "c1", "other"])
-
         for b in batches:
             k, s, c = (x.to_numpy() for x in b.columns)
             # keys that stand alone, most of them, are passed over
@@ -180,22 +220,31 @@ def _meet(crowd):
                     if key is not None:
                         close()
                     key, sides, crowded = x, ({}, {}), False
+                    if len(rows) > 100_000:
+                        yield _batch(rows, _MET)
+                        rows.clear()
                 if crowded:
                     rows.append((1, key, side, line, 0))
-                else:
-                    sides[side][line] = None
-                    if len(sides[0]) > crowd or len(sides[1]) > crowd:
-                        crowded = True
-                        rows.extend((1, key, z, line, 0) for z in (0, 1) for line in sides[z])
-                        sides = ({}, {})
-            yield out()
+                    continue
+                for z in (0, 1):
+                    if side & 1 << z:
+                        sides[z][line] = None
+                if len(sides[0]) > crowd or len(sides[1]) > crowd:
+                    crowded = True
+                    rows.extend((1, key, (x in sides[0]) * INDEX + (x in sides[1]) * PROBE, x, 0) for x in sides[0] | sides[1])
+                    sides = ({}, {})
+            yield _batch(rows, _MET)
+            rows.clear()
         if key is not None:
             close()
-        yield out()
+        yield _batch(rows, _MET)
 
     return run
 
 
+_TEXT = {"c1": "long", "c2": "long", "text_of": "binary"}
+
+
 def _texts_of(shortest, wanted):
     """(text) to (c1, c2, line) of each distinct line of a task, of those wanted if a broadcast says which."""
 
@@ -208,10 +257,11 @@ def _texts_of(shortest, wanted):
                 for _, line in eligible(text, shortest):
                     n = name(line)
                     if n not in sent and (want is None or n[0] in want):
+                        if len(sent) >= REMEMBERED:
+                            sent.clear()
                         sent.add(n)
                         rows.append((*n, line))
-            cols = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.binary()], strict=True)], names=["c1", "c2", "rest"])
+            yield _batch(rows, _TEXT)
 
     return run
 
@@ -257,111 +307,131 @@ def within(a: str, b: str, edits: int) -> bool:
     return bool(state[edits] >> (len(b) - len(a) + edits) & 1)
 
 
-def _verify(edits):
-    def run(batches):
-        for b in batches:
-            x, y = b.column(4).to_pylist(), b.column(5).to_pylist()
-            ok = [p != q and within(p.decode(errors="replace"), q.decode(errors="replace"), edits) for p, q in zip(x, y, strict=True)]
-            yield b.select(["a1", "a2", "b1", "b2"]).filter(pa.array(ok, pa.bool_()))
-
-    return run
-
+def near(x: bytes, y: bytes, bands: Bands) -> bool:
+    """Whether two different lines are within the threshold of the shorter one."""
+    if x == y:
+        return False
+    p, q = x.decode(errors="replace"), y.decode(errors="replace")
+    edits = int(edits_at(np.array([min(len(p), len(q))]), bands)[0])
+    return edits >= 0 and within(p, q, edits)
 
-def _cut_out(edits):
-    """Lines of a crowded key without the segment it matched: (scope, side, c1, c2, line, rest).
 
-    From rows (scope, side, c1, c2, line, rest, key): rest is what is left so far, and key,
-    one of its keys under scope, is the crowded one.
-    """
+def _verify(bands):
+    """(c1, c2, x, y) to the names (c1, c2) whose lines x and y are near each other."""
 
     def run(batches):
         for b in batches:
-            out = []
-            for scope, side, c1, c2, line, rest, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                s = rest.decode(errors="replace")
-                prefix, start, length = _points([rest])
-                _, k, z, at, size = keys(prefix, start, length, edits, side == 0, side == 1)
-                if scope:
-                    k = _scoped(np.array([scope], np.int64), k)
-                for i in np.flatnonzero(k == key)[:1]:
-                    cut = s[: at[i]] + "\0" + s[at[i] + size[i] :]
-                    out.append((key, side, c1, c2, line, cut.encode(errors="replace")))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            types = [pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["scope", "side", "c1", "c2", "line", "rest"])
+            ok = [near(x, y, bands) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.select(["c1", "c2"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _scoped(scope: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Keys that are equal only under equal scopes."""
-    return common.mix(key.view(np.uint64) ^ common.mix(np.ascontiguousarray(scope).view(np.uint64))).view(np.int64)
+#: A line, or what is left of it, under a key of its own: which part of it the key stands for (size -1: all that is left), and for what it was split.
+_ROW = {"key": "long", "sides": "byte", "c1": "long", "c2": "long", "rest": "binary", "at": "int", "size": "int", "edits": "int", "delta": "int"}
 
 
-def _keys_of_rests(edits):
-    """Crowded rows to their keys under their scope: (key, side, c1)."""
+def _open(bands):
+    """(key, sides, c1, c2, line) to _ROW: what a crowded key stands for in its line, once for each place."""
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            scope, side, c1 = (b.column(i).to_numpy() for i in range(3))
-            rests, got = b.column(3).to_pylist(), []
-            for z in (0, 1):
-                of = np.flatnonzero(side == z)
-                if len(of):
-                    prefix, start, length = _points([rests[i] for i in of])
-                    row, k, _, _, _ = keys(prefix, start, length, edits, z == 0, z == 1)
-                    got.append((_scoped(scope[of][row], k), np.full(len(k), z, np.int8), c1[of][row]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got, strict=True)], names=["key", "side", "c1"])
+            out = []
+            for key, sides, c1, c2, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                _, k, z, at, size, edits, delta = whole_keys([line], bands)
+                out += [(key, int(z[i]) & sides, c1, c2, line, int(at[i]), int(size[i]), int(edits[i]), int(delta[i])) for i in np.flatnonzero(k == key) if int(z[i]) & sides]
+            yield _batch(out, _ROW)
 
     return run
 
 
-def near_lines(docs: DataFrame, edits: int, shortest: int, scratch: common.Scratch, crowd: int = CROWD) -> DataFrame:
-    """Verified pairs of different lines within the threshold: a1, a2, b1, b2, the names of both."""
-    spark = docs.sparkSession
-    met_schema = "kind int, key long, side byte, c1 long, other long"
-
-    def meet(rows, most=crowd):
-        return scratch.keep(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(most), met_schema))
+def _cut_out(batches):
+    """_ROW to _ROW under the keys of what is left when the matched part is cut out, each only equal under an equal key before."""
+    for b in batches:
+        out = []
+        for key, sides, c1, c2, rest, at, size, edits, delta in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            s = rest.decode(errors="replace")
+            s = s[:at] + s[at + size :]
+            left = s.encode(errors="replace")
+            # the lines of a delta are this much longer than those whose segments they hold
+            for side, d in ((sides & INDEX, 0), (sides & PROBE, delta)):
+                if not side or side == PROBE and sides & INDEX and d == 0:
+                    continue
+                side = sides if d == 0 else side
+                if len(s) - d <= edits:
+                    out.append((_scoped(key, np.array([-1], np.int64))[0], side, c1, c2, left, 0, -1, edits, d))
+                    continue
+                prefix, start, length = _points([left])
+                _, k, z, at_, size_ = keys(prefix, start, length, np.array([edits]), np.array([d]), side)
+                out += [(int(x), int(y), c1, c2, left, int(a), int(n), edits, d) for x, y, a, n in zip(_scoped(key, k), z, at_, size_, strict=True)]
+        yield _batch(out, _ROW)
+
+
+def _scoped(scope: int, key: np.ndarray) -> np.ndarray:
+    """Keys that are equal only under equal scopes."""
+    return common.mix(key.view(np.uint64) ^ common.mix(np.array([scope], np.int64).view(np.uint64))).view(np.int64)
 
-    def texts(of):
-        of = scratch.keep(of.distinct())
-        if of.count() <= BROADCAST_LINES:
-            sent = spark.sparkContext.broadcast(frozenset(r.c1 for r in of.toLocalIterator()))
-            got = docs.select("text").mapInArrow(_texts_of(shortest, sent), "c1 long, c2 long, rest binary")
-        else:
-            got = docs.select("text").mapInArrow(_texts_of(shortest, None), "c1 long, c2 long, rest binary").join(of, "c1", "left_semi")
-        return scratch.keep(got.dropDuplicates(["c1", "c2"]))
 
-    met = meet(docs.select("text").mapInArrow(_keys_of_lines(edits, shortest), "key long, side byte, c1 long"))
+def late_lines(docs: DataFrame, firsts: DataFrame, bands: Bands, scratch: common.Scratch, crowd: int = CROWD) -> DataFrame:
+    """(c1, c2), the names of lines that are near an earlier one. firsts: c1, c2 and first, the place of each line."""
+    spark = docs.sparkSession
+    met = docs.select("text").mapInArrow(_keys_of_lines(bands), _schema(_KEYED)).repartition("key").sortWithinPartitions("key")
+    met = scratch.keep(met.mapInArrow(_meet(crowd), _schema(_MET)))
     # most candidates are pairs under a key that holds two lines; all are verified below
-    pairs = met.filter("kind = 0").select("c1", "other").distinct()
-    crowded = met.filter("kind = 1")
-    known = texts(met.filter("kind = 0").select("c1").unionByName(met.filter("kind = 0").select(F.col("other").alias("c1"))).unionByName(crowded.select("c1")))
-    full = known.withColumnRenamed("rest", "line")
-    hot = crowded.select("key", "side", "c1").distinct().join(full, "c1").select(F.lit(0).cast("long").alias("scope"), "side", "c1", "c2", "line", F.col("line").alias("rest"), "key")
-    depth = 0
-    while not hot.isEmpty():
-        depth += 1
-        cut = scratch.keep(hot.mapInArrow(_cut_out(edits), "scope long, side byte, c1 long, c2 long, line binary, rest binary"))
-        rests = cut.select("scope", "side", "c1", "rest")
-        met = meet(rests.mapInArrow(_keys_of_rests(edits), "key long, side byte, c1 long"), crowd if depth < DEEPEST else 1 << 30)
-        pairs = pairs.unionByName(met.filter("kind = 0").select("c1", "other"))
-        again = met.filter("kind = 1").select("key", "side", "c1").distinct()
-        hot = cut.join(again, ["side", "c1"]).select("scope", "side", "c1", "c2", "line", "rest", "key")
-    x = full.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("line").alias("x"))
-    y = full.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("line").alias("y"))
-    both = pairs.select(F.col("c1").alias("a1"), F.col("other").alias("b1")).distinct().join(x, "a1").join(y, "b1")
-    return scratch.keep(both.select("a1", "a2", "b1", "b2", "x", "y").mapInArrow(_verify(edits), "a1 long, a2 long, b1 long, b2 long"))
+    pairs = scratch.keep(met.filter("kind = 0").select("c1", "other").distinct())
+    large = met.filter("kind = 1").select("key", "sides", "c1").distinct()
+    # a key that only has segments, or only probes, joins nothing
+    open_ = large.groupBy("key").agg(F.bit_or("sides").alias("all")).filter(f"all = {INDEX | PROBE}").select("key")
+    large = scratch.keep(large.join(scratch.keep(open_), "key"))
+
+    of = pairs.select("c1").unionByName(pairs.select(F.col("other").alias("c1"))).unionByName(large.select("c1"))
+    of = scratch.keep(of.distinct())
+    sent = spark.sparkContext.broadcast(frozenset(r.c1 for r in of.toLocalIterator())) if of.count() <= BROADCAST_LINES else None
+    known = docs.select("text").mapInArrow(_texts_of(bands[0][0], sent), _schema(_TEXT))
+    known = (known if sent else known.join(of, "c1", "left_semi")).dropDuplicates(["c1", "c2"]).withColumnRenamed("text_of", "line")
+    known = scratch.keep(known.join(firsts, ["c1", "c2"]))
+
+    def judged(ask: DataFrame) -> DataFrame:
+        """Of rows (c1, c2, first, line; f1, f2, other_first, other): the names of the later lines of near pairs."""
+        later = F.col("first") > F.col("other_first")
+        ask = ask.select(F.when(later, F.col("c1")).otherwise(F.col("f1")).alias("c1"), F.when(later, F.col("c2")).otherwise(F.col("f2")).alias("c2"), F.col("line").alias("x"), F.col("other").alias("y"))
+        return scratch.keep(ask.mapInArrow(_verify(bands), "c1 long, c2 long").distinct())
+
+    other = known.select(F.col("c1").alias("f1"), F.col("c2").alias("f2"), F.col("first").alias("other_first"), F.col("line").alias("other"))
+    late = judged(pairs.withColumnRenamed("other", "f1").join(known, "c1").join(other, "f1"))
+    rows = large.join(known, "c1").select("key", "sides", "c1", "c2", "line").mapInArrow(_open(bands), _schema(_ROW))
+    if large.isEmpty():
+        return late
+    while True:
+        rows = scratch.keep(rows.distinct())
+        full = scratch.keep(rows.select("key", "sides", "c1", "c2", "size").join(known, ["c1", "c2"]))
+        # the earliest line of each key settles what is near it
+        head = F.min(F.struct("first", "c1", "c2", "line")).alias("h")
+        heads = scratch.keep(full.groupBy("key").agg(head).select("key", F.col("h.c1").alias("f1"), F.col("h.c2").alias("f2"), F.col("h.first").alias("other_first"), F.col("h.line").alias("other")))
+        settled = judged(full.join(late, ["c1", "c2"], "left_anti").join(heads, "key"))
+        late = scratch.keep(late.unionByName(settled).distinct())
+        asks = scratch.keep(full.join(late.withColumn("done", F.lit(True)), ["c1", "c2"], "left").withColumn("ask", F.col("done").isNull()).drop("done"))
+
+        def count(side, of="true", asks=asks):
+            return F.sum(F.expr(f"if(sides & {side} > 0 and {of}, 1, 0)"))
+
+        sizes = asks.groupBy("key").agg(count(INDEX).alias("i"), count(PROBE).alias("p"), count(INDEX, "ask").alias("ai"), count(PROBE, "ask").alias("ap"), F.max(F.expr("size < 0")).alias("ends"))
+        sizes = scratch.keep(sizes.select("key", F.expr(f"if(ends or ai * p + ap * i <= {crowd} * (i + p), 1, 2)").alias("go"), (F.expr("ai * p + ap * i")).alias("cost")).filter("cost > 0").drop("cost"))
+        few = asks.join(sizes.filter("go = 1"), "key")
+        partner = few.select("key", F.col("sides").alias("their"), F.col("c1").alias("f1"), F.col("c2").alias("f2"), F.col("first").alias("other_first"), F.col("line").alias("other"))
+        facing = F.expr("(sides & 1 > 0 and their & 2 > 0 or sides & 2 > 0 and their & 1 > 0) and other_first < first")
+        late = scratch.keep(late.unionByName(judged(few.filter("ask").join(partner, "key").filter(facing))).distinct())
+        hot = rows.join(sizes.filter("go = 2").select("key"), "key")
+        if sizes.filter("go = 2").isEmpty():
+            return late
+        rows = hot.select(*_ROW).mapInArrow(_cut_out, _schema(_ROW))
 
 
 def _rewrite(batches):
     """(doc_id, text, gone) to the text without the lines gone."""
     for b in batches:
         n, removed, sha, kept = [], [], [], []
-        for text, gone in zip(common.texts(b), b.column(b.schema.get_field_index("gone")).to_pylist(), strict=True):
+        for text, gone in zip(common.texts(b), b.column(b.schema.get_field_index("__gone")).to_pylist(), strict=True):
             lines = text.split(b"\n") if text else []
             gone = set(gone or ())
             left = b"\n".join(x for k, x in enumerate(lines) if k not in gone)
@@ -369,32 +439,34 @@ def _rewrite(batches):
             removed.append(len(gone))
             sha.append(hashlib.sha256(left).hexdigest())
             kept.append(left.decode(errors="replace"))
-        keep = [(m, b.column(i)) for i, m in enumerate(b.schema.names) if m not in ("text", "gone")]
+        keep = [(m, b.column(i)) for i, m in enumerate(b.schema.names) if m not in ("text", "__gone")]
         more = [("n_lines", pa.array(n, pa.int64())), ("n_removed", pa.array(removed, pa.int64())), ("kept_sha256", pa.array(sha, pa.string())), ("kept_text", pa.array(kept, pa.string()))]
         yield pa.RecordBatch.from_arrays([c for _, c in [*keep, *more]], names=[m for m, _ in [*keep, *more]])
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, crowd: int = CROWD, copies: int | None = None) -> DataFrame:
+_RESULTS = ("n_lines", "n_removed", "kept_sha256", "kept_text")
+
+
+def dedup_lines(docs: DataFrame, bands: Bands = BANDS, crowd: int = CROWD, copies: int | None = None) -> DataFrame:
     """n_lines, n_removed, kept_sha256 and kept_text of every document, after its other columns.
 
     copies: the least length of lines whose equal copies go; that of the edit join unless given.
     """
-    scratch = common.Scratch(docs.sparkSession)
-    named = docs.withColumn("__uid", F.xxhash64("doc_id", "text"))
-    lines = scratch.keep(named.select("doc_id", "__uid", "text").mapInArrow(_lines(shortest, shortest if copies is None else min(copies, shortest)), "c1 long, c2 long, doc_id long, uid long, line int"))
-    place = F.struct("doc_id", "uid", "line")
-    firsts = scratch.keep(lines.groupBy("c1", "c2").agg(F.min(place).alias("first")))
-    near = near_lines(docs.select("doc_id", "text"), edits, shortest, scratch, crowd)
-    at = firsts.select(F.col("c1").alias("f1"), F.col("c2").alias("f2"), "first")
-    a = near.join(at, F.expr("a1 = f1 and a2 = f2")).select("a1", "a2", "b1", "b2", F.col("first").alias("fa"))
-    ab = a.join(at, F.expr("b1 = f1 and b2 = f2")).select("a1", "a2", "b1", "b2", "fa", F.col("first").alias("fb"))
-    later = F.when(F.col("fa") > F.col("fb"), F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2"))).otherwise(F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2")))
-    late = ab.select(later.alias("l")).select("l.c1", "l.c2").distinct().withColumn("late", F.lit(True))
-    judged = firsts.join(late, ["c1", "c2"], "left")
-    gone = lines.join(judged, ["c1", "c2"]).filter(F.col("late").isNotNull() | (place != F.col("first")))
-    gone = gone.groupBy("uid").agg(F.collect_set("line").alias("gone")).withColumnRenamed("uid", "__of")
+    docs = docs.drop(*_RESULTS)
+    scratch, shortest = common.Scratch(docs.sparkSession), bands[0][0]
+    # 128 bits name a row, so that no two documents share one
+    u1, u2 = F.xxhash64("doc_id", "text").alias("__u1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("__u2")
+    named = docs.select("*", u1, u2)
+    lines = scratch.keep(named.select("doc_id", "__u1", "__u2", "text").mapInArrow(_lines(shortest, shortest if copies is None else min(copies, shortest)), "c1 long, c2 long, doc_id long, u1 long, u2 long, line int"))
+    place = F.struct("doc_id", "u1", "u2", "line")
+    firsts = scratch.keep(lines.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    late = late_lines(docs.select("text"), firsts.drop("n"), bands, scratch, crowd).withColumn("late", F.lit(True))
+    # only lines that may go are joined with their rows, so that one line's many rows can be split
+    judged = scratch.keep(firsts.join(late, ["c1", "c2"], "left").filter("late or n > 1").drop("n"))
+    gone = scratch.keep(lines.join(judged, ["c1", "c2"]).filter(F.col("late").isNotNull() | (place != F.col("first"))).select("u1", "u2", "line"))
+    gone = gone.groupBy(F.col("u1").alias("__g1"), F.col("u2").alias("__g2")).agg(F.collect_set("line").alias("__gone"))
     cols = docs.columns
-    joined = named.join(gone, F.col("__uid") == F.col("__of"), "left").select(*[F.col(f"`{c}`") for c in cols], F.col("gone"))
+    joined = named.join(gone, F.expr("__u1 = __g1 and __u2 = __g2"), "left").select(*[F.col(f"`{c}`") for c in cols], F.col("__gone"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ", n_lines long, n_removed long, kept_sha256 string, kept_text string"
     return joined.mapInArrow(_rewrite, schema)
 

@@ -160,14 +160,16 @@ def test_op4_banded_distance():
             assert line_dedup.within(a, b, edits) == (edit_distance(a, b) <= edits)
 
 
-def lines_gone(rows, edits, shortest):
+def lines_gone(rows, bands):
+    """Numbers of the lines that go, by document. bands: (least length, edits) as in the operator."""
     first, every = {}, []
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
         for k, x in enumerate(t.split("\n")):
-            if len(x) >= shortest:
+            if len(x) >= bands[0][0]:
                 every.append((d, k, x))
                 first.setdefault(x, (d is not None, d, k))
-    late = {x for x in first for y in first if first[y] < first[x] and abs(len(x) - len(y)) <= edits and line_dedup.within(x, y, edits)}
+    edits = lambda x, y: max((n for least, n in bands if min(len(x), len(y)) >= least))
+    late = {x for x in first for y in first if first[y] < first[x] and abs(len(x) - len(y)) <= edits(x, y) and line_dedup.within(x, y, edits(x, y))}
     gone = collections.defaultdict(set)
     for d, k, x in every:
         if x in late or first[x][1:] != (d, k):
@@ -175,8 +177,8 @@ def lines_gone(rows, edits, shortest):
     return gone
 
 
-@pytest.mark.parametrize(("edits", "crowd"), [(1, 32), (1, 4), (2, 32)])
-def test_op4_against_brute_force(spark, edits, crowd):
+@pytest.mark.parametrize(("bands", "crowd"), [(((40, 1),), 32), (((40, 1),), 4), (((40, 2),), 32), (((40, 2),), 3), (((40, 1), (60, 2), (64, 3)), 8)])
+def test_op4_against_brute_force(spark, bands, crowd):
     rng = random.Random(4)
     templates = [prose(rng, 12) for _ in range(4)]
 
@@ -188,8 +190,8 @@ def test_op4_against_brute_force(spark, edits, crowd):
         return "".join(s)
 
     rows = [(i, "\n".join(vary(rng.choice(templates)) for _ in range(3))) for i in range(70)] + [(90, ""), (91, "short\nshort")]
-    gone = lines_gone(rows, edits, 40)
-    got = {r["doc_id"]: r for r in records(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), edits=edits, crowd=crowd))}
+    gone = lines_gone(rows, bands)
+    got = {r["doc_id"]: r for r in records(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), bands=bands, crowd=crowd))}
     for d, t in rows:
         left = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d])
         assert (got[d]["n_removed"], got[d]["kept_text"], got[d]["kept_sha256"]) == (len(gone[d]), left, hashlib.sha256(left.encode()).hexdigest())
@@ -199,7 +201,7 @@ def test_op4_awkward_rows(docs, none):
     got = line_dedup.stage_line_dedup(docs.sparkSession, docs, "")
     assert got.columns == docs.columns
     kept = {r.doc_id: r.text for r in got.collect()}
-    gone = lines_gone(sorted(set(TEXTS), key=str), 1, 40)
+    gone = lines_gone(sorted(set(TEXTS), key=str), line_dedup.BANDS)
     assert kept[90] is None and kept[91] == "" and 95 not in kept
     for d, t in TEXTS:
         if d in kept and d not in (90, None):
@@ -207,6 +209,21 @@ def test_op4_awkward_rows(docs, none):
     assert line_dedup.stage_line_dedup(docs.sparkSession, none, "").count() == 0
 
 
+def test_op4_crowd_of_strangers(spark):
+    """A crowd of variants of one line of which none is near another, and pairs among them that are."""
+    rng = random.Random(12)
+    base, rows = "".join(rng.choice("abcdefgh ") for _ in range(121)), []
+    for i in range(2000):
+        at = rng.sample(range(121), 4)
+        rows.append((i, "".join("xyz"[i % 3] if k in at else c for k, c in enumerate(base))))
+    rows += [(3000 + i, rows[i][1][:60] + "Q" + rows[i][1][60:]) for i in range(0, 2000, 40)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), bands=((40, 1),)).collect()}
+    # lines of one length are near if they differ in one place; 121 and 122 characters meet in the last 50 alone
+    texts = np.array([np.frombuffer(t.encode(), np.uint8) for _, t in rows[:2000]])
+    late = {i for i in range(2000) if ((texts[:i] != texts[i]).sum(axis=1) <= 1).any()}
+    assert {d for d, n in got.items() if n} == late | set(range(3000, 5000)) & set(got)
+
+
 def test_op4_short_copies(spark):
     rows = [(1, "one\n\none\n \n \ntwo"), (2, "two\nthree\n\n "), (3, "threes"), (4, "ü\nü")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
