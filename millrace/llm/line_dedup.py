@@ -41,6 +41,8 @@ BANDS = ((40, 1), (150, 2))
 #: Least length of lines whose equal copies go.
 COPIES = 1
 CROWD = 32
+#: Lines of a large key that are paired with all of it once they are so few.
+PAIRED = 128
 #: Lines whose texts may be picked by a broadcast of their names; beyond it they are joined.
 BROADCAST_LINES = 400_000
 #: Names of lines that a task remembers, so as not to send one twice; then it forgets them.
@@ -399,32 +401,30 @@ def late_lines(docs: DataFrame, firsts: DataFrame, bands: Bands, scratch: common
 
     other = known.select(F.col("c1").alias("f1"), F.col("c2").alias("f2"), F.col("first").alias("other_first"), F.col("line").alias("other"))
     late = judged(pairs.withColumnRenamed("other", "f1").join(known, "c1").join(other, "f1"))
-    rows = large.join(known, "c1").select("key", "sides", "c1", "c2", "line").mapInArrow(_open(bands), _schema(_ROW))
     if large.isEmpty():
         return late
+    rows = large.join(known, "c1").select("key", "sides", "c1", "c2", "line").mapInArrow(_open(bands), _schema(_ROW))
     while True:
-        rows = scratch.keep(rows.distinct())
-        full = scratch.keep(rows.select("key", "sides", "c1", "c2", "size").join(known, ["c1", "c2"]))
+        full = scratch.keep(rows.distinct().join(known, ["c1", "c2"]))
         # the earliest line of each key settles what is near it
         head = F.min(F.struct("first", "c1", "c2", "line")).alias("h")
-        heads = scratch.keep(full.groupBy("key").agg(head).select("key", F.col("h.c1").alias("f1"), F.col("h.c2").alias("f2"), F.col("h.first").alias("other_first"), F.col("h.line").alias("other")))
-        settled = judged(full.join(late, ["c1", "c2"], "left_anti").join(heads, "key"))
-        late = scratch.keep(late.unionByName(settled).distinct())
-        asks = scratch.keep(full.join(late.withColumn("done", F.lit(True)), ["c1", "c2"], "left").withColumn("ask", F.col("done").isNull()).drop("done"))
+        heads = full.groupBy("key").agg(head).select("key", F.col("h.c1").alias("f1"), F.col("h.c2").alias("f2"), F.col("h.first").alias("other_first"), F.col("h.line").alias("other"))
+        late = late.unionByName(judged(full.join(late, ["c1", "c2"], "left_anti").join(heads, "key"))).distinct()
+        asks = full.join(late.withColumn("done", F.lit(True)), ["c1", "c2"], "left").withColumn("ask", F.col("done").isNull()).drop("done")
 
-        def count(side, of="true", asks=asks):
+        def count(side, of="true"):
             return F.sum(F.expr(f"if(sides & {side} > 0 and {of}, 1, 0)"))
 
         sizes = asks.groupBy("key").agg(count(INDEX).alias("i"), count(PROBE).alias("p"), count(INDEX, "ask").alias("ai"), count(PROBE, "ask").alias("ap"), F.max(F.expr("size < 0")).alias("ends"))
-        sizes = scratch.keep(sizes.select("key", F.expr(f"if(ends or ai * p + ap * i <= {crowd} * (i + p), 1, 2)").alias("go"), (F.expr("ai * p + ap * i")).alias("cost")).filter("cost > 0").drop("cost"))
+        sizes = scratch.keep(sizes.filter("ai * p + ap * i > 0").select("key", F.expr(f"if(ends or ai * p + ap * i <= {PAIRED} * (i + p), 1, 2)").alias("go")))
         few = asks.join(sizes.filter("go = 1"), "key")
         partner = few.select("key", F.col("sides").alias("their"), F.col("c1").alias("f1"), F.col("c2").alias("f2"), F.col("first").alias("other_first"), F.col("line").alias("other"))
         facing = F.expr("(sides & 1 > 0 and their & 2 > 0 or sides & 2 > 0 and their & 1 > 0) and other_first < first")
         late = scratch.keep(late.unionByName(judged(few.filter("ask").join(partner, "key").filter(facing))).distinct())
-        hot = rows.join(sizes.filter("go = 2").select("key"), "key")
-        if sizes.filter("go = 2").isEmpty():
+        hot = sizes.filter("go = 2").select("key")
+        if hot.isEmpty():
             return late
-        rows = hot.select(*_ROW).mapInArrow(_cut_out, _schema(_ROW))
+        rows = full.join(hot, "key").select(*_ROW).mapInArrow(_cut_out, _schema(_ROW))
 
 
 def _rewrite(batches):
