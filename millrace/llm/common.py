@@ -11,8 +11,6 @@ import contextlib
 import tempfile
 import uuid
 import zipfile
-import zlib
-from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -47,30 +45,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Scratch:
     """Tables written to the cluster's shared folder, to cut lineage where a lost executor would cost most.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests, a notebook)
-    a temporary one of this machine serves. Tables go when dropped or when Python ends.
+    The folder is ``spark.checkpoint.dir``; where that is unset and all of Spark runs in this
+    machine's one process (tests, a notebook) a temporary one serves, and on a cluster that
+    is an error. Tables go when dropped or when Python ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
             root = f"file://{tempfile.gettempdir()}/millrace-scratch"
         self.root = f"{root.rstrip('/')}/millrace-{uuid.uuid4().hex}"
         self.count = 0
         atexit.register(self._clear)
 
-    def keep(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
-        """Write df and return a DataFrame that reads what was written; the write's shuffle files go with it."""
+    def keep(self, df: DataFrame, codec: str = "zstd", rows_a_batch: int | None = None) -> DataFrame:
+        """Write df and return a DataFrame that reads what was written; the write's shuffle files go with it.
+
+        rows_a_batch: of the Arrow batches of its Python steps, where rows are large.
+        """
         self.count += 1
         path = f"{self.root}/{self.count}"
-        tidy, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", self.spark.conf
-        before = conf.get(tidy)
-        conf.set(tidy, "true")
+        conf = self.spark.conf
+        wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+        if rows_a_batch:
+            wanted["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(rows_a_batch)
+        before = {k: conf.get(k) for k in wanted}
+        for k, v in wanted.items():
+            conf.set(k, v)
         try:
             df.write.option("compression", codec).parquet(path)
         finally:
-            conf.set(tidy, before)
+            for k, v in before.items():
+                conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -100,23 +109,11 @@ def ids_of(batch: pa.RecordBatch, column: str = "doc_id") -> list[int | None]:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
-def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
-
-
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; fold 0 is held out of all learning."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def fold_in_python(doc_id: int | None) -> int | None:
-    return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % 5
-
-
 # Hashing ---------------------------------------------------------------------------------
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)

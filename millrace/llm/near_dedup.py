@@ -4,14 +4,15 @@ Documents with equal sets are one class. Each of several independent trees sends
 down paths chosen by the node itself: a node picks two of the 128 minwise positions and a
 class follows the tokens it has there. Nodes of up to SMALL classes are compared
 exhaustively by signature. In a larger node every class is compared with LEADERS classes
-of the node, the ones that share most tokens with a sample's commonest; those that resemble one stop there, linked to it, and the rest, linked to all
-that they may be similar to, branch on, so a huge group of near copies costs its size and
-never its square. Candidate pairs are confirmed on the
-full sets: first a spanning forest of each node, then, knowing the components that gave,
-every candidate pair between different components. For the latter no class of a large node
-rests: the strays, those outside the node's commonest component, meet every class of the
-node, and a node of too many strays branches with all its classes (``_unsettled``). Only
-classes of one component are never compared again.
+of the node, the ones that share most tokens with a sample's commonest; those that resemble
+one stop there, linked to it, and the rest, linked to all that they may be similar to, branch
+on, so a huge group of near copies costs its size and never its square. Candidate pairs are
+confirmed on the full sets: first a spanning forest of each node, then, knowing the
+components that gave, every candidate pair between different components. For the latter no
+class of a large node rests: the strays, those outside the node's commonest component, meet
+every class of the node, block by block, and a node of too many strays branches with all its
+classes (``_unsettled``). Only classes of one component are never compared again. Large nodes
+travel in blocks of BLOCK classes, dealt by Spark; none of their signatures reach the driver.
 
 A pair of the least similarity shares a path with probability 15/16 a tree at the first
 level and at least 8/9 at any depth, so five trees miss one in 10^5 or fewer, and the
@@ -43,16 +44,14 @@ SMALL = 512
 #: Pairs of signatures that are compared at a time.
 PAIRS = 16_384
 LEADERS = 8
-#: Classes of a large node whose commonest tokens say which classes are central.
-SAMPLE = 48
 #: Of POSITIONS equal: fewer make no candidate; so many let a class rest at its leaders; so many make one link enough.
 CANDIDATE, RESEMBLES, CLOSE = 78, 90, 101
 #: A large node of more strays branches, so often at most where one component dominates it and elsewhere; then its strays are compared however many.
 STRAYS, DOMINATED, MIXED = 512, 3, 12
-#: Strays that are broadcast at a time (8 MB of signatures).
-BLOCK = 16_384
-#: Large nodes whose leaders' signatures may be broadcast (16 MB); beyond it they are joined.
-BROADCAST_NODES = 4096
+#: Classes of a large node in one row (64 KB of signatures), and such rows in an Arrow batch.
+BLOCK, BLOCKS_A_BATCH = 128, 256
+#: Classes whose links a task remembers, so as not to tell one twice; then it forgets them.
+REMEMBERED = 200_000
 #: Ids that may be broadcast to pick texts; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -117,12 +116,17 @@ def _plant(trees: int):
     return run
 
 
+def _blocks(b: pa.RecordBatch, at: int) -> list[tuple[list[bytes], np.ndarray]]:
+    """Names and signatures of the blocks in two list columns, the first at ``at``."""
+    return [(names, np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, POSITIONS)) for names, sigs in zip(b.column(at).to_pylist(), b.column(at + 1).to_pylist(), strict=True)]
+
+
 def _commonest(batches):
-    """(node, sigs) to the commonest token at each position."""
+    """(node, names, sigs) to the commonest token at each position."""
     for b in batches:
         out = []
-        for sigs in b.column(1).to_pylist():
-            x = np.sort(np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, POSITIONS), axis=0)
+        for _, sigs in _blocks(b, 1):
+            x = np.sort(sigs, axis=0)
             run, best, token = np.ones(POSITIONS, int), np.ones(POSITIONS, int), x[0].copy()
             for i in range(1, len(x)):
                 run = np.where(x[i] == x[i - 1], run + 1, 1)
@@ -131,58 +135,52 @@ def _commonest(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["node", "middle"])
 
 
-def _agreement(batches):
-    """(node, cls, sig, middle) to the count of positions at which sig has the commonest token."""
+def _central(batches):
+    """(node, names, sigs, middle) to the LEADERS classes of each block that have most of the commonest tokens: node, leader, lsig, same."""
     for b in batches:
-        if b.num_rows:
-            same = (_signatures(b.column(2)) == _signatures(b.column(3))).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.int32())], names=["node", "cls", "same"])
+        rows = []
+        for node, (names, sigs), middle in zip(b.column(0).to_pylist(), _blocks(b, 1), b.column(3).to_pylist(), strict=True):
+            same = (sigs == np.frombuffer(middle, np.uint32)).sum(axis=1)
+            rows += [(node, names[i], sigs[i].tobytes(), int(same[i])) for i in np.argsort(-same, kind="stable")[:LEADERS]]
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.int32()), strict=True)], names=["node", "leader", "lsig", "same"])
 
 
-def _star(heads):
-    """(node, cls, sig), and leaders and lsigs unless heads has them by node, to kind 0: candidate (a, b); kind 1: rows that branch on (node, a).
+def _star(batches):
+    """(node, names, sigs, leaders, lsigs) to kind 0: candidate (a, b); kind 1: rows that branch on (node, a).
 
     A class that is close to a leader gets that one link; any other gets a link to each
     leader that it may be similar to, and goes on if it does not resemble one.
     """
-
-    def run(batches):
-        known = heads.value if heads is not None else None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            at, cls, sig = b.column(0).to_numpy(), b.column(1).to_pylist(), _signatures(b.column(2))
-            ends, on = [], []
-            by = {}
-            for i, n in enumerate(at.tolist()):
-                by.setdefault(n, []).append(i)
-            for n, rows in by.items():
-                names, sigs = known[n] if known is not None else (b.column(3)[rows[0]].as_py(), b.column(4)[rows[0]].as_py())
-                lead = np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, POSITIONS)
-                same = np.stack([(sig[rows] == x).sum(axis=1) for x in lead], axis=1)
-                for i, row in zip(rows, same, strict=True):
-                    best = int(row.argmax())
-                    if row[best] >= CLOSE:
-                        if names[best] != cls[i]:
-                            ends.append((cls[i], names[best]))
-                        continue
-                    ends += [(cls[i], x) for x, k in zip(names, row, strict=True) if k >= CANDIDATE]
-                    if row[best] < RESEMBLES:
-                        on.append(i)
-            on = np.array(on, np.int64)
-            nodes = _children(at.view(np.uint64)[on], sig[on]).view(np.int64).ravel() if len(on) else np.zeros(0, np.int64)
-            k, rest = len(ends), [cls[i] for i in np.repeat(on, 2)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([0] * k + [1] * len(rest), pa.int32()),
-                    pa.array(np.concatenate([np.zeros(k, np.int64), nodes])),
-                    pa.array([x for x, _ in ends] + rest, pa.binary()),
-                    pa.array([x for _, x in ends] + [None] * len(rest), pa.binary()),
-                ],
-                names=["kind", "node", "a", "b"],
-            )
-
-    return run
+    for b in batches:
+        ends, on, nodes = [], [], []
+        for node, (cls, sig), (names, lead) in zip(b.column(0).to_pylist(), _blocks(b, 1), _blocks(b, 3), strict=True):
+            same = np.stack([(sig == x).sum(axis=1) for x in lead], axis=1)
+            go = []
+            for i, row in enumerate(same):
+                best = int(row.argmax())
+                if row[best] >= CLOSE:
+                    if names[best] != cls[i]:
+                        ends.append((cls[i], names[best]))
+                    continue
+                ends += [(cls[i], x) for x, k in zip(names, row, strict=True) if k >= CANDIDATE and x != cls[i]]
+                if row[best] < RESEMBLES:
+                    go.append(i)
+            if go:
+                nodes += _children(np.full(len(go), node, np.int64).view(np.uint64), sig[go]).view(np.int64).ravel().tolist()
+                on += [cls[i] for i in go for _ in range(2)]
+        k = len(ends)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([0] * k + [1] * len(on), pa.int32()), pa.array([0] * k + nodes, pa.int64()), pa.array([x for x, _ in ends] + on, pa.binary()), pa.array([x for _, x in ends] + [None] * len(on), pa.binary())],
+            names=["kind", "node", "a", "b"],
+        )
+
+
+def _in_blocks(rows: DataFrame, size: str, *more: str) -> DataFrame:
+    """Rows (node, cls, sig) of nodes of ``size`` rows as blocks: node, block, names, sigs, and lists of the columns ``more``."""
+    block = F.pmod(F.xxhash64("cls"), F.ceil(F.col(size) / BLOCK)).alias("block")
+    row = F.collect_list(F.struct("cls", "sig", *more)).alias("r")
+    return rows.groupBy("node", block).agg(row).select("node", "block", F.col("r.cls").alias("names"), F.col("r.sig").alias("sigs"), *[F.col(f"r.{c}").alias(c) for c in more])
 
 
 def _pairs_of(size: int, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,10 +234,14 @@ def _compare(spanning: bool):
                     p, q = top(x), top(y)
                     if p == q:
                         continue
+                    if len(parent) > REMEMBERED:
+                        parent.clear()
                     parent[p] = q
                 else:
                     if root[i[k]] == root[j[k]] or x + y in told:
                         continue
+                    if len(told) > REMEMBERED:
+                        told.clear()
                     told.add(x + y)
                 a.append(x)
                 b_.append(y)
@@ -270,35 +272,23 @@ def _branch(batches):
             yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64).ravel()), b.column(1).take(pa.array(np.repeat(np.arange(len(nodes)), 2)))], names=["node", "cls"])
 
 
-def _against(strays):
-    """(node, cls, sig, root) to the candidate pairs (a, b) with strays of the node that have another root."""
-
-    def run(batches):
-        known = {n: (names, roots, np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, POSITIONS)) for n, (names, roots, sigs) in strays.value.items()}
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cls, root, sig = b.column(1).to_pylist(), b.column(3).to_pylist(), _signatures(b.column(2))
-            by, found = {}, set()
-            for i, n in enumerate(b.column(0).to_pylist()):
-                if n in known:
-                    by.setdefault(n, []).append(i)
-            for n, rows in by.items():
-                names, roots, sigs = known[n]
-                for i in rows:
-                    for p in range(0, len(names), PAIRS):
-                        for j in p + np.flatnonzero((sigs[p : p + PAIRS] == sig[i]).sum(axis=1) >= CANDIDATE):
-                            if roots[j] != root[i]:
-                                found.add((min(cls[i], names[j]), max(cls[i], names[j])))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
-
-    return run
+def _against(batches):
+    """(names, sigs, roots; other names, sigs, roots) of one node to the candidate pairs (a, b) between different roots."""
+    for b in batches:
+        found = set()
+        theirs = zip(_blocks(b, 3), b.column(5).to_pylist(), strict=True)
+        for (names, sigs), roots, ((others, osigs), oroots) in zip(_blocks(b, 0), b.column(2).to_pylist(), theirs, strict=True):
+            for j, sig in enumerate(osigs):
+                for i in np.flatnonzero((sigs == sig).sum(axis=1) >= CANDIDATE):
+                    if roots[i] != oroots[j]:
+                        found.add((min(names[i], others[j]), max(names[i], others[j])))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
 
 
 def _unsettled(rows: DataFrame, sigs: DataFrame, roots: DataFrame, scratch: common.Scratch, small: int):
     """The classes of large nodes (node, cls) that may have links between components:
     candidate pairs (a, b), and the small nodes (node, cls) to compare exhaustively."""
-    sc, of = rows.sparkSession.sparkContext, roots.select(F.col("node").alias("cls"), "root")
+    of = roots.select(F.col("node").alias("cls"), "root")
     pairs, nodes, depth = [], [], 0
     while True:
         rooted = scratch.keep(rows.join(of, "cls", "left").select("node", "cls", F.coalesce("root", "cls").alias("root")))
@@ -310,18 +300,13 @@ def _unsettled(rows: DataFrame, sigs: DataFrame, roots: DataFrame, scratch: comm
         big = live.filter(F.col("size") > small)
         if big.isEmpty():
             return pairs, nodes
-        signed = scratch.keep(big.join(sigs.select("cls", "sig"), "cls").select("node", "cls", "sig", "root", "main", "on"))
+        signed = scratch.keep(big.join(sigs.select("cls", "sig"), "cls").select("node", "cls", "sig", "root", "main", "on", "size", "strays"))
         met = signed.filter("not on")
-        strays = met.filter("root != main")
-        blocks = -(-strays.count() // BLOCK)
-        for k in range(blocks):
-            held: dict[int, tuple[list, list, list]] = {}
-            for r in strays.filter(F.pmod(F.xxhash64("node", "cls"), F.lit(blocks)) == k).select("node", "cls", "root", "sig").toLocalIterator():
-                for x, y in zip(held.setdefault(r.node, ([], [], [])), r[1:], strict=True):
-                    x.append(bytes(y))
-            sent = sc.broadcast(held)
-            pairs.append(scratch.keep(met.select("node", "cls", "sig", "root").mapInArrow(_against(sent), "a binary, b binary").distinct()))
-            sent.unpersist()
+        if not met.isEmpty():
+            every = _in_blocks(met, "size", "root").select("node", "names", "sigs", "root")
+            strays = _in_blocks(met.filter("root != main"), "strays", "root").select("node", *[F.col(c).alias(f"o_{c}") for c in ("names", "sigs", "root")])
+            both = scratch.keep(every).join(scratch.keep(strays), "node").select("names", "sigs", "root", "o_names", "o_sigs", "o_root")
+            pairs.append(scratch.keep(both.mapInArrow(_against, "a binary, b binary").distinct(), rows_a_batch=BLOCKS_A_BATCH))
         depth += 1
         rows = signed.filter("on").select("node", "cls", "sig").mapInArrow(_branch, "node long, cls binary")
 
@@ -361,23 +346,16 @@ def classes_and_links(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
         if big.isEmpty():
             break
         large = big.select("node", "cls") if large is None else large
-        signed = scratch.keep(big.select("node", "cls").join(sigs.select("cls", "sig"), "cls").select("node", "cls", "sig"))
-        # both picks are top-n a node, cut down in each task before they are dealt by node
-        some = Window.partitionBy("node").orderBy(F.xxhash64("cls"))
-        some = signed.withColumn("n", F.row_number().over(some)).filter(F.col("n") <= SAMPLE).groupBy("node").agg(F.collect_list("sig").alias("sigs"))
-        middle = some.mapInArrow(_commonest, "node long, middle binary")
-        near = signed.join(middle, "node").select("node", "cls", "sig", "middle").mapInArrow(_agreement, "node long, cls binary, same int")
-        best = Window.partitionBy("node").orderBy(F.desc("same"), "cls")
-        led = near.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= LEADERS).select("node", F.col("cls").alias("leader"))
-        led = led.join(sigs.select(F.col("cls").alias("leader"), F.col("sig").alias("lsig")), "leader")
-        heads = led.groupBy("node").agg(F.collect_list("leader").alias("leaders"), F.collect_list("lsig").alias("lsigs"))
-        heads = scratch.keep(heads)
-        if heads.count() <= BROADCAST_NODES:
-            sent = docs.sparkSession.sparkContext.broadcast({r.node: (list(map(bytes, r.leaders)), list(map(bytes, r.lsigs))) for r in heads.toLocalIterator()})
-            starred = signed.mapInArrow(_star(sent), "kind int, node long, a binary, b binary")
-        else:
-            starred = signed.join(heads, "node").select("node", "cls", "sig", "leaders", "lsigs").mapInArrow(_star(None), "kind int, node long, a binary, b binary")
-        out = scratch.keep(starred)
+        blocks = scratch.keep(_in_blocks(big.join(sigs.select("cls", "sig"), "cls").select("node", "size", "cls", "sig"), "size"))
+        # classes lie in blocks by their hash, so the first block of a node is a sample of it
+        middle = scratch.keep(blocks.filter("block = 0").select("node", "names", "sigs").mapInArrow(_commonest, "node long, middle binary"), rows_a_batch=BLOCKS_A_BATCH)
+        central = blocks.join(middle, "node").select("node", "names", "sigs", "middle").mapInArrow(_central, "node long, leader binary, lsig binary, same int")
+        central = scratch.keep(central, rows_a_batch=BLOCKS_A_BATCH)
+        best = Window.partitionBy("node").orderBy(F.desc("same"), "leader")
+        led = central.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= LEADERS)
+        heads = scratch.keep(led.groupBy("node").agg(F.collect_list(F.struct("leader", "lsig")).alias("r")).select("node", F.col("r.leader").alias("leaders"), F.col("r.lsig").alias("lsigs")))
+        starred = blocks.join(heads, "node").select("node", "names", "sigs", "leaders", "lsigs").mapInArrow(_star, "kind int, node long, a binary, b binary")
+        out = scratch.keep(starred, rows_a_batch=BLOCKS_A_BATCH)
         linked.append(out.filter("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         rows = out.filter("kind = 1").select("node", F.col("a").alias("cls"))
     picks = docs.select("doc_id", "text")
@@ -445,7 +423,19 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one of the least id. Rows with one id stay or go together."""
+    """One document of each component stays: the one of the least id, and of rows that repeat both id and text, one.
+
+    Rows of that id with different texts are documents of their own and stay.
+    """
     common.ship(spark)
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    of = near_duplicates(docs)
+    kept = of.filter("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
+    kept = common.Scratch(spark).keep(kept)
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")))
+    if kept.filter("__n > 1").isEmpty():
+        return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    # only rows whose id repeats are dealt by their text
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    first = Window.partitionBy("doc_id", F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).orderBy(F.lit(0))
+    again = out.filter("__n > 1").withColumn("__turn", F.row_number().over(first)).filter("__turn = 1")
+    return out.filter("__n = 1").select(*cols).unionByName(again.select(*cols))

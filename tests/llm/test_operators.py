@@ -417,16 +417,18 @@ def test_op10_against_brute_force(docs, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
-def test_op10_large_group(spark):
-    """A group over the size that is compared exhaustively, around one original."""
+@pytest.mark.parametrize("around", ["original", "none"])
+def test_op10_large_group(spark, around):
+    """A group of more classes than a node compares exhaustively, with and without the text all come from."""
     rng = random.Random(10)
     base = prose(rng, 150).split()
     rows = []
-    for i in range(300):
+    for i in range(900):
         words = list(base)
-        for _ in range(rng.randrange(4) if i else 0):
-            words[rng.randrange(len(words))] = f"w{rng.randrange(999)}"
+        for _ in range(rng.randrange(4) if i and around == "original" else 2 if around == "none" else 0):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(99999)}"
         rows.append((i, " ".join(words)))
+    assert len({t for _, t in rows}) > near_dedup.SMALL
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in records(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))))
     assert got == sorted(components(rows))
 
