@@ -10,13 +10,14 @@ on, so a huge group of near copies costs its size and never its square. Candidat
 confirmed on the full sets: first a spanning forest of each node, then, knowing the
 components that gave, every candidate pair between different components. For the latter no
 class of a large node rests: the strays, those outside the node's commonest component, meet
-every class of the node, block by block, and a node of too many strays branches with all its
-classes (``_unsettled``). Only classes of one component are never compared again. Large nodes
+every class of the node, block by block and by a finer sketch, and a node of too many strays
+branches with all its classes (``_unsettled``). Only classes of one component are never
+compared again. Large nodes
 travel in blocks of BLOCK classes, dealt by Spark; none of their signatures reach the driver.
 
 A pair of the least similarity shares a path with probability 15/16 a tree at the first
 level and at least 8/9 at any depth, so five trees miss one in 10^5 or fewer, and the
-signature bound one in 10^4.
+signature and sketch bounds one in 10^4.
 
 Defined cases: a null or wordless text has an empty set, n_shingles 0 and no links;
 fewer words than a shingle are one shingle; rows of one id with different texts are
@@ -48,6 +49,8 @@ LEADERS = 8
 CANDIDATE, RESEMBLES, CLOSE = 78, 90, 101
 #: A large node of more strays branches, so often at most where one component dominates it and elsewhere; then its strays are compared however many.
 STRAYS, DOMINATED, MIXED = 512, 3, 12
+#: Bins of the finer sketch, a byte each, and the share of equal ones, of those that either has, that makes a candidate.
+BINS, FINE = 512, 0.67
 #: Classes of a large node in one row (64 KB of signatures), and such rows in an Arrow batch.
 BLOCK, BLOCKS_A_BATCH = 128, 256
 #: Classes whose links a task remembers, so as not to tell one twice; then it forgets them.
@@ -74,16 +77,25 @@ def signature(found: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """A byte of the least hash in each bin, by one permutation; 0 where a bin is empty."""
+    bins, first = np.unique(found & np.uint64(BINS - 1), return_index=True)  # found is sorted
+    out = np.zeros(BINS, np.uint8)
+    out[bins.astype(np.int64)] = 1 + (found[first] >> np.uint64(BINS.bit_length())) % np.uint64(255)
+    return out
+
+
 def _describe(words):
     def run(batches):
         for b in batches:
-            n, cls, sig = [], [], []
+            n, cls, sig, fine = [], [], [], []
             for text in common.texts(b):
                 s = shingles(text, words)
                 n.append(len(s))
                 cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "cls", "sig"])
+                fine.append(sketch(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (cls, sig, fine))], names=["doc_id", "n_shingles", "cls", "sig", "fine"])
 
     return run
 
@@ -176,11 +188,11 @@ def _star(batches):
         )
 
 
-def _in_blocks(rows: DataFrame, size: str, *more: str) -> DataFrame:
-    """Rows (node, cls, sig) of nodes of ``size`` rows as blocks: node, block, names, sigs, and lists of the columns ``more``."""
+def _in_blocks(rows: DataFrame, size: str, **columns: str) -> DataFrame:
+    """Rows of nodes of ``size`` rows as blocks: node, block, and lists of the columns under the names given."""
     block = F.pmod(F.xxhash64("cls"), F.ceil(F.col(size) / BLOCK)).alias("block")
-    row = F.collect_list(F.struct("cls", "sig", *more)).alias("r")
-    return rows.groupBy("node", block).agg(row).select("node", "block", F.col("r.cls").alias("names"), F.col("r.sig").alias("sigs"), *[F.col(f"r.{c}").alias(c) for c in more])
+    row = F.collect_list(F.struct(*columns.values())).alias("r")
+    return rows.groupBy("node", block).agg(row).select("node", "block", *[F.col(f"r.{c}").alias(n) for n, c in columns.items()])
 
 
 def _pairs_of(size: int, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -273,15 +285,15 @@ def _branch(batches):
 
 
 def _against(batches):
-    """(names, sigs, roots; other names, sigs, roots) of one node to the candidate pairs (a, b) between different roots."""
+    """(names, sketches, roots; other names, sketches, roots) of one node to the candidate pairs (a, b) between different roots."""
     for b in batches:
         found = set()
-        theirs = zip(_blocks(b, 3), b.column(5).to_pylist(), strict=True)
-        for (names, sigs), roots, ((others, osigs), oroots) in zip(_blocks(b, 0), b.column(2).to_pylist(), theirs, strict=True):
-            for j, sig in enumerate(osigs):
-                for i in np.flatnonzero((sigs == sig).sum(axis=1) >= CANDIDATE):
-                    if roots[i] != oroots[j]:
-                        found.add((min(names[i], others[j]), max(names[i], others[j])))
+        for names, fine, roots, others, ofine, oroots in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            x, y = (np.frombuffer(b"".join(f), np.uint8).reshape(-1, BINS) for f in (fine, ofine))
+            for j, one in enumerate(y):
+                some = (x | one) > 0
+                ok = ((x == one) & some).sum(axis=1) >= FINE * some.sum(axis=1)
+                found.update((min(names[i], others[j]), max(names[i], others[j])) for i in np.flatnonzero(ok) if roots[i] != oroots[j])
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
 
 
@@ -295,20 +307,20 @@ def _unsettled(rows: DataFrame, sigs: DataFrame, roots: DataFrame, scratch: comm
         by = rooted.groupBy("node", "root").agg(F.count("*").alias("n"))
         mixed = by.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("main"))
         mixed = mixed.select("node", "size", (F.col("size") - F.col("main.n")).alias("strays"), F.col("main.root").alias("main")).filter("strays > 0")
-        live = scratch.keep(rooted.join(mixed, "node").withColumn("on", F.expr(f"strays > {STRAYS} and {depth} < if(2 * strays > size, {MIXED}, {DOMINATED})")))
+        live = scratch.keep(rooted.join(scratch.keep(mixed), "node").withColumn("on", F.expr(f"strays > {STRAYS} and {depth} < if(2 * strays > size, {MIXED}, {DOMINATED})")))
         nodes.append(live.filter(F.col("size") <= small).select("node", "cls"))
         big = live.filter(F.col("size") > small)
         if big.isEmpty():
             return pairs, nodes
-        signed = scratch.keep(big.join(sigs.select("cls", "sig"), "cls").select("node", "cls", "sig", "root", "main", "on", "size", "strays"))
-        met = signed.filter("not on")
+        met = big.filter("not on")
         if not met.isEmpty():
-            every = _in_blocks(met, "size", "root").select("node", "names", "sigs", "root")
-            strays = _in_blocks(met.filter("root != main"), "strays", "root").select("node", *[F.col(c).alias(f"o_{c}") for c in ("names", "sigs", "root")])
-            both = scratch.keep(every).join(scratch.keep(strays), "node").select("names", "sigs", "root", "o_names", "o_sigs", "o_root")
+            met = met.join(sigs.select("cls", "fine"), "cls")
+            every = scratch.keep(_in_blocks(met, "size", names="cls", fine="fine", roots="root").drop("block"))
+            strays = scratch.keep(_in_blocks(met.filter("root != main"), "strays", onames="cls", ofine="fine", oroots="root").drop("block"))
+            both = every.join(strays, "node").drop("node")
             pairs.append(scratch.keep(both.mapInArrow(_against, "a binary, b binary").distinct(), rows_a_batch=BLOCKS_A_BATCH))
         depth += 1
-        rows = signed.filter("on").select("node", "cls", "sig").mapInArrow(_branch, "node long, cls binary")
+        rows = big.filter("on").join(sigs.select("cls", "sig"), "cls").select("node", "cls", "sig").mapInArrow(_branch, "node long, cls binary")
 
 
 def _confirm(num, den):
@@ -333,20 +345,21 @@ def classes_and_links(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     """(described, links, roots, scratch): the documents with their class, the confirmed links
     between classes, and (node, root) of every class that has one."""
     scratch = common.Scratch(docs.sparkSession)
-    described = scratch.keep(docs.select("doc_id", "text").mapInArrow(_describe(words), "doc_id long, n_shingles long, cls binary, sig binary"))
+    described = scratch.keep(docs.select("doc_id", "text").mapInArrow(_describe(words), "doc_id long, n_shingles long, cls binary, sig binary, fine binary"))
     # Equal sets have equal signatures: any row's will do.
-    sigs = scratch.keep(described.filter("cls is not null").groupBy("cls").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("of")))
+    sigs = scratch.keep(described.filter("cls is not null").groupBy("cls").agg(F.min("sig").alias("sig"), F.min("fine").alias("fine"), F.min("doc_id").alias("of")))
     rows = scratch.keep(sigs.select("cls", "sig").mapInArrow(_plant(trees), "node long, cls binary"))
     linked, small, large = [], [], None
     while True:
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+        # a table of its own, so that the rows of a node that holds many can be split in the join
+        sizes = scratch.keep(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"))
         live = scratch.keep(rows.join(sizes, "node"))
         small.append(live.filter(F.col("size") <= small_node).select("node", "cls"))
         big = live.filter(F.col("size") > small_node)
         if big.isEmpty():
             break
         large = big.select("node", "cls") if large is None else large
-        blocks = scratch.keep(_in_blocks(big.join(sigs.select("cls", "sig"), "cls").select("node", "size", "cls", "sig"), "size"))
+        blocks = scratch.keep(_in_blocks(big.join(sigs.select("cls", "sig"), "cls").select("node", "size", "cls", "sig"), "size", names="cls", sigs="sig"))
         # classes lie in blocks by their hash, so the first block of a node is a sample of it
         middle = scratch.keep(blocks.filter("block = 0").select("node", "names", "sigs").mapInArrow(_commonest, "node long, middle binary"), rows_a_batch=BLOCKS_A_BATCH)
         central = blocks.join(middle, "node").select("node", "names", "sigs", "middle").mapInArrow(_central, "node long, leader binary, lsig binary, same int")
