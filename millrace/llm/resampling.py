@@ -2,8 +2,7 @@
 
 Unigrams and bigrams of words are hashed into buckets; the target model counts them in
 labelled good documents, the raw model in all documents. A document's log weight is the
-log-ratio of its probability under both models, scaled down to LENGTH n-grams if it has
-more. Documents are drawn without replacement
+log-ratio of its probability under both models. Documents are drawn without replacement
 in proportion to their weights by adding Gumbel noise to the log weights and taking the
 k largest (Gumbel top-k). The noise is a function of the id, so reruns agree.
 
@@ -27,8 +26,6 @@ from millrace.llm import common
 BUCKETS = 1 << 14
 MOST_LABELLED = 20_000
 SMOOTHING = 1.0
-#: A longer text weighs as so many of its n-grams would, so that length alone neither saves nor sinks it.
-LENGTH = 256
 
 
 def features(text: bytes) -> np.ndarray:
@@ -54,7 +51,7 @@ def _weigh(ratio):
     def run(batches):
         for b in batches:
             found = [features(t) for t in common.texts(b)]
-            weight = [float(ratio[f].sum()) * min(1.0, LENGTH / max(1, len(f))) for f in found]
+            weight = [float(ratio[f].sum()) for f in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(weight, pa.float64())], names=["doc_id", "n_features", "log_weight"])
 
     return run
