@@ -5,14 +5,15 @@ block of dimensions; after each block a candidate whose score so far plus the mo
 the remaining mass allows (the product of the remaining norms of query and candidate)
 is under the query's k-th best so far is dropped, and the survivors are compacted.
 
-Queries go in blocks of at most ``BLOCK_BYTES``: a block is broadcast and meets every
-candidate in one pass. Each task answers with k rows a query, and the last step ranks
-those. Neither side is ever gathered.
+Queries and candidates are packed in blocks of at most ``BLOCK_BYTES``, and Spark deals
+every pair of a query block and a candidate block to some task: query blocks are copied
+``salts`` times, so that few of them still keep all tasks busy. A task answers with k rows a
+query of each run of blocks, and the last step ranks those. Neither side is ever gathered.
 
 Defined cases: vectors that are null, empty, or hold a null or non-finite component take
 no part; vectors of other lengths than the query's are no candidates of it; rows that
-repeat a vec_id are candidates each, and of several query rows with one vec_id the least
-vector asks; no queries or no candidates give no rows. Components are exact up to 2^20 in
+repeat a vec_id are candidates each, and of several usable query rows with one vec_id the
+least vector asks; no queries or no candidates give no rows. Components are exact up to 2^20 in
 size after scaling; larger ones are computed with Python's integers.
 """
 
@@ -28,7 +29,9 @@ from millrace.llm import common
 K = 10
 SCALE = 1024
 DIMENSION_BLOCK = 16
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
+#: Pairs of blocks in an Arrow batch.
+PAIRS_A_BATCH = 4
 TILE, QUERY_TILE, SEED = 8192, 64, 256
 EXACT = 1 << 20
 
@@ -122,46 +125,49 @@ class Search:
                     self._offer(n, score.astype(np.int64), ids[on])
 
 
-def _probe(block, k):
+def _probe(k):
+    """Pairs of blocks (block, ids, comps; other ids, comps; dim), sorted by block, to query_id, vec_id, score: the k best of each query in a run of one block."""
+
+    def answer(search):
+        out = [(np.full(len(s), q), i, s) for q, (s, i) in zip(search.ids, search.best, strict=True) if len(s)] if search else []
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+
     def run(batches):
-        searches = {dim: Search(ids, q, k) for dim, (ids, q) in block.value.items()}
+        at, search = None, None
         for b in batches:
-            for ids, c in vectors(b):
-                if c.shape[1] in searches:
-                    searches[c.shape[1]].meet(ids, c)
-        out = [(np.full(len(s), q), i, s) for x in searches.values() for q, (s, i) in zip(x.ids, x.best, strict=True) if len(s)]
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+            for block, ids, comps, cids, ccomps, dim in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if block != at:
+                    yield answer(search)
+                    at, search = block, Search(np.frombuffer(ids, np.int64), np.frombuffer(comps, np.float64).reshape(-1, dim), k)
+                search.meet(np.frombuffer(cids, np.int64), np.frombuffer(ccomps, np.float64).reshape(-1, dim))
+        yield answer(search)
 
     return run
 
 
+#: Vectors that take part.
+USABLE = "vec_id is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
+
+
 def search(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each query, ties to the smaller vec_id."""
     spark = candidates.sparkSession
     scratch = common.Scratch(spark)
-    asked = queries.filter("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    packed = asked.mapInArrow(_pack(lambda dim: max(1, BLOCK_BYTES // 4 // (8 * dim + 8))), "dim int, ids binary, comps binary")
-    of, found = candidates.select("vec_id", "embedding"), []
-
-    def one_pass(block):
-        sent = spark.sparkContext.broadcast({d: (np.concatenate([i for i, _ in x]), np.concatenate([q for _, q in x])) for d, x in block.items()})
-        found.append(scratch.keep(of.mapInArrow(_probe(sent, k), "query_id long, vec_id long, score long")))
-        sent.unpersist()
-
-    block: dict[int, list] = {}
-    held = 0
-    for r in packed.toLocalIterator():
-        if held and held + len(r.comps) + len(r.ids) > BLOCK_BYTES:
-            one_pass(block)
-            block, held = {}, 0
-        block.setdefault(r.dim, []).append((np.frombuffer(r.ids, np.int64), np.frombuffer(r.comps, np.float64).reshape(-1, r.dim)))
-        held += len(r.comps) + len(r.ids)
-    if block or not found:
-        one_pass(block)
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
+
+    def packed(df, name):
+        rows = df.mapInArrow(_pack(lambda dim: max(1, BLOCK_BYTES // (8 * dim + 8))), "dim int, ids binary, comps binary")
+        return scratch.keep(rows.withColumn(name, F.monotonically_increasing_id()))
+
+    asked = packed(queries.filter(USABLE).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "block")
+    of = packed(candidates.select("vec_id", "embedding").filter(USABLE), "other").select("dim", "other", F.col("ids").alias("cids"), F.col("comps").alias("ccomps"))
+    blocks = asked.groupBy("dim").agg(F.collect_list("block").alias("blocks"))
+    salts = max(1, -(-common.partitions_of(spark) // max(1, asked.count())))
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    left = asked.select("dim", "block", "ids", "comps", salt)
+    right = of.join(blocks, "dim").select("cids", "ccomps", F.explode("blocks").alias("block"), F.pmod(F.xxhash64("other"), F.lit(salts)).cast("int").alias("salt"))
+    pairs = right.join(left, ["block", "salt"]).sortWithinPartitions("block").select("block", "ids", "comps", "cids", "ccomps", "dim")
+    every = scratch.keep(pairs.mapInArrow(_probe(k), "query_id long, vec_id long, score long"), rows_a_batch=PAIRS_A_BATCH)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return every.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
