@@ -3,9 +3,10 @@
 Subwords are the 2 to 4 byte strings of lower-cased letters, with a blank before and
 after each word; they are hashed into buckets, a bucket has an embedding, and a text is
 the average of its subwords' embeddings. Trained by stochastic gradient descent in numpy
-on at most ``most`` labelled documents outside fold 0, whole and in short random windows.
-As the softmax is linear, a bucket's part in each class is tabulated once, and scoring a
-text of any length is one pass of table look-ups.
+on about ``most`` labelled documents of each language outside fold 0 (of at most
+``MOST_LANGUAGES`` languages, the commonest), whole and in short random windows, in the order
+of their ids. As the softmax is linear, a bucket's part in each class is tabulated once, and scoring a
+text of any length is one pass of table look-ups, a stretch of the text at a time.
 
 Probabilities are calibrated by a temperature fitted on a part of the training rows that
 the descent has not seen; below ``REJECT`` the prediction is marked as rejected.
@@ -17,6 +18,8 @@ rows are predicted alike.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,24 +27,25 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 
-MOST_LABELLED = 1_500
+MOST_LABELLED, MOST_LANGUAGES = 400, 1_000
 SHORT_WINDOWS = 3
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 EPOCHS = 12
 REJECT = 0.5
-CHUNK = 1 << 20
+CHUNK = 1 << 16
 
+_RESULTS = ("lang_pred", "score", "rejected")
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
 _LETTER[128:] = np.arange(128, 256)
 
 
-def buckets(text: str) -> np.ndarray:
-    """Bucket of every subword of a text."""
+def stretches(text: str):
+    """Buckets of the subwords of a text, a stretch of CHUNK beginnings at a time."""
     data = _LETTER[np.frombuffer(f" {text.lower()} ".encode(), np.uint8)]
-    out = []
     for at in range(0, len(data), CHUNK):
+        out = []
         x = data[at : at + CHUNK + 3].astype(np.uint32)
         blank = x == 32
         h = x * np.uint32(0x9E3779B1)
@@ -59,25 +63,26 @@ def buckets(text: str) -> np.ndarray:
                     inner |= blank[k : k + len(inner)]
                 ok = ~inner
             out.append(h[:m][ok[:m]] >> np.uint32(17))
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+        yield np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
 def _sparse(batches):
-    """(lang, text) to training rows: lang, bucket, share."""
+    """(doc_id, lang, text) to training rows: what sorts them, lang, bucket, share."""
     for b in batches:
-        lang, idx, val = [], [], []
-        for name, text in zip(b.column(0).to_pylist(), common.texts(b), strict=True):
+        rows = []
+        for doc, name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), common.texts(b), strict=True):
             s = text.decode()
             words = s.split()
             rng = np.random.default_rng(len(s))
             parts = [s, *(" ".join(words[k : k + 6]) for k in rng.integers(0, max(1, len(words) - 5), SHORT_WINDOWS))]
-            for p in parts:
-                found, n = np.unique(buckets(p), return_counts=True)
-                if len(found):
-                    lang.append(name)
-                    idx.append(found.astype(np.int32))
-                    val.append((n / n.sum()).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], names=["lang", "bucket", "share"])
+            for k, p in enumerate(parts):
+                n = sum(np.bincount(x, minlength=BUCKETS) for x in stretches(p))
+                if n.any():
+                    at = np.flatnonzero(n)
+                    rows.append((doc, zlib.crc32(text), k, name, at.astype(np.int32), (n[at] / n.sum()).astype(np.float32)))
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float32()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "crc", "part", "lang", "bucket", "share"])
 
 
 class Model:
@@ -86,11 +91,15 @@ class Model:
     def __init__(self, names: list[str], table: np.ndarray, bias: np.ndarray, temperature: float = 1.0):
         self.names, self.table, self.bias, self.temperature = names, table, bias, temperature
 
-    def logits(self, b: np.ndarray) -> np.ndarray:
-        return self.table.take(b, axis=0).sum(axis=0, dtype=np.float64) / max(1, len(b)) + self.bias
+    def logits(self, text: str) -> np.ndarray:
+        total, n = np.zeros(len(self.names)), 0
+        for b in stretches(text):
+            total += self.table.take(b, axis=0).sum(axis=0, dtype=np.float64)
+            n += len(b)
+        return total / max(1, n) + self.bias
 
     def predict(self, text: str) -> tuple[str, float]:
-        z = self.logits(buckets(text)) / self.temperature
+        z = self.logits(text) / self.temperature
         p = np.exp(z - z.max())
         k = int(p.argmax())
         return self.names[k], float(p[k] / p.sum())
@@ -137,14 +146,16 @@ def train(rows, seed: int = 3) -> Model | None:
 
 
 def learn(docs: DataFrame, most: int = MOST_LABELLED) -> Model | None:
-    """A model from text and lang of at most about ``most`` documents outside fold 0."""
+    """A model from text and lang of about ``most`` documents of each language outside fold 0."""
     common.ship(docs.sparkSession)
     ok = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (common.fold_of(F.col("doc_id")) != 0)).select("doc_id", "lang", "text")
-    n = ok.count()
-    share = min(1.0, most / max(n, 1))
-    kept = ok.filter(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1_000_000)) < share * 1_000_000).limit(int(1.2 * most) + 100)
-    got = kept.select("lang", "text").mapInArrow(_sparse, "lang string, bucket array<int>, share array<float>").toArrow()
-    return train([(r[0].as_py(), r[1].values.to_numpy(), r[2].values.to_numpy()) for r in zip(*(got.column(i) for i in range(3)), strict=True)])
+    per = ok.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    turn = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1_000_000))
+    kept = ok.join(F.broadcast(per), "lang").filter(turn * F.col("n") < most * 1_000_000)
+    got = kept.select("doc_id", "lang", "text").mapInArrow(_sparse, "doc_id long, crc long, part int, lang string, bucket array<int>, share array<float>").toArrow()
+    rows = [(r[3].as_py(), r[4].values.to_numpy(), r[5].values.to_numpy()) for r in zip(*(got.column(i) for i in range(6)), strict=True)]
+    order = sorted(range(len(rows)), key=lambda i: (got.column(0)[i].as_py(), got.column(3)[i].as_py(), got.column(1)[i].as_py(), got.column(2)[i].as_py()))
+    return train([rows[i] for i in order])
 
 
 def _identify(model: Model | None):
@@ -154,7 +165,7 @@ def _identify(model: Model | None):
             for text in common.texts(b):
                 s = text.decode()
                 out.append(model.predict(s) if model and any(map(str.isalpha, s)) else ("und", 0.0))
-            keep = [(n, b.column(i)) for i, n in enumerate(b.schema.names) if n != "text"]
+            keep = [(n, b.column(i)) for i, n in enumerate(b.schema.names) if n not in ("text", *_RESULTS)]
             cols = [*keep, ("lang_pred", pa.array([x for x, _ in out], pa.string())), ("score", pa.array([x for _, x in out], pa.float64()))]
             yield pa.RecordBatch.from_arrays([c for _, c in cols], names=[n for n, _ in cols])
 
@@ -162,7 +173,8 @@ def _identify(model: Model | None):
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs' columns without text, and lang_pred, score and rejected."""
+    """docs' columns without text, and lang_pred, score and rejected; input columns of these names give way."""
+    docs = docs.drop(*_RESULTS)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ", lang_pred string, score double"
     return docs.mapInArrow(_identify(model), schema).withColumn("rejected", F.col("score") < REJECT)
 
