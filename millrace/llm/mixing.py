@@ -28,22 +28,31 @@ SHARE = 1.5
 REPEATS = 2
 
 
-def targets(sizes: Sequence[float], weights: Sequence[float], budget: float, repeats: int) -> list[float]:
-    """Share the budget by weight; a target over ``repeats`` times its size stops there and the excess is reshared."""
-    caps = [float(repeats * s) for s in sizes]
-    out, open_, left = [0.0] * len(caps), list(range(len(caps))), float(budget)
-    while open_:
-        whole = sum(weights[i] for i in open_)
-        over = [i for i in open_ if left * weights[i] / whole > caps[i]]
-        if not over:
-            for i in open_:
-                out[i] = left * weights[i] / whole
+def targets(sized: DataFrame, weights: Sequence[float], share: float, repeats: int, scratch: common.Scratch) -> tuple[DataFrame, float]:
+    """(source, source_size, target) and the sum of all targets.
+
+    Sources in their order take the weights in turn. A target is the source's weight times
+    one level, or its cap, ``repeats`` times its size, if that is less. The level starts as
+    the budget shared by weight and rises as what the capped leave is reshared, until none
+    is above; each round sums over the sources in Spark and gives the driver three numbers.
+    """
+    n = common.partitions_of(sized.sparkSession)
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.lit(1).cast("long").alias("one"))
+    numbered = common.running_totals(per, [F.col("source").isNull(), F.col("source")], None, "one", n, scratch)
+    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("running") - 1, F.lit(len(weights))) + 1).cast("int"))
+    plan = scratch.keep(numbered.select("source", "source_size", turn.alias("weight"), (F.lit(float(repeats)) * F.col("source_size")).alias("cap")))
+    whole, total, still = plan.agg(F.sum("weight"), F.sum("source_size"), F.count("*")).first()
+    if not total:
+        return plan.select("source", "source_size", F.lit(0.0).alias("target")), 0.0
+    level = share * total / whole
+    while True:
+        over = F.col("weight") * level >= F.col("cap")
+        capped, whole, left = plan.agg(F.sum(F.when(over, F.col("cap")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight"))), F.sum(F.when(over, 0).otherwise(1))).first()
+        if not left or left == still:
             break
-        for i in over:
-            out[i] = caps[i]
-        left -= sum(caps[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
-    return out
+        level, still = (share * total - capped) / whole, left
+    target = F.least(F.col("weight") * level, F.col("cap"))
+    return plan.select("source", "source_size", target.alias("target")), min(share, float(repeats)) * total
 
 
 def _sizes(batches):
@@ -56,28 +65,23 @@ def _sizes(batches):
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 17) -> DataFrame:
     """doc_id, source, size, source_size, target and copies: how often each document is taken.
 
-    The driver holds one number per source (the mixing table itself), nothing per document.
+    The driver holds a few sums, nothing per source or document.
     """
     spark = docs.sparkSession
     scratch, n = common.Scratch(spark), common.partitions_of(spark)
     sized = scratch.keep(docs.select("doc_id", "source", "text").mapInArrow(_sizes, "doc_id long, source string, size long"))
-    per = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
-    per.sort(key=lambda r: (r.source is None, r.source or ""))
-    sizes = [int(r["size"]) for r in per]
-    to = targets(sizes, [weights[i % len(weights)] for i in range(len(per))], share * sum(sizes), repeats)
-    plan = spark.createDataFrame([(r.source, s, t) for r, s, t in zip(per, sizes, to, strict=True)], "source string, source_size long, target double")
+    plan, budget = targets(sized, weights, share, repeats, scratch)
     # xxhash64 skips nulls, so a null id still has a place in the order
     shuffled = sized.withColumn("turn", F.xxhash64(F.lit(seed), "doc_id"))
     queue = common.running_totals(shuffled, [F.col("source"), F.col("turn"), F.col("doc_id"), F.col("size")], "source", "size", n, scratch)
     q, p = queue.alias("q"), plan.alias("p")
-    queue = q.join(F.broadcast(p) if len(per) <= 100_000 else p, F.expr("q.source <=> p.source")).select("q.*", "p.source_size", "p.target")
+    queue = q.join(p, F.expr("q.source <=> p.source")).select("q.*", "p.source_size", "p.target")
     if repeats > 1:
         rounds = queue.select("*", F.explode(F.array(*[F.lit(i) for i in range(repeats)])).alias("round"))
     else:
         rounds = queue.withColumn("round", F.lit(0))
     finish = (F.col("running") + F.col("round") * F.col("source_size")) / F.col("target")
     served = rounds.filter("size > 0 and target > 0").select("doc_id", "turn", "source", "round", "size", "running", finish.alias("finish")).withColumnRenamed("running", "place")
-    budget = sum(to)
     served = common.running_totals(served, [F.col(c) for c in ("finish", "turn", "source", "place", "round")], None, "size", n, scratch)
     # The last document served may stand across the budget's end; it stays if most of it fits.
     taken = served.filter(F.col("running") - F.col("size") / 2 <= F.lit(budget)).groupBy("source", "place").agg(F.count("*").alias("copies"))
@@ -96,9 +100,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in the mix; one that is taken twice stands there twice.
 
-    Rows that share an id share its copies: each is kept as often as the first of them.
+    Rows that share an id share its copies: each is kept as often as the one of them that is taken most.
     """
     common.ship(spark)
     copies = mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
+    # the columns travel as one, so that none can clash with the stage's own
+    row = docs.select(F.col("doc_id").alias("__of"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    joined = row.join(copies, F.col("__of").eqNullSafe(F.col("__id")))
+    return joined.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select("__row.*")
