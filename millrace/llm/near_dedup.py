@@ -444,11 +444,12 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     of = near_duplicates(docs)
     kept = of.filter("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
     kept = common.Scratch(spark).keep(kept)
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")))
+    # the columns travel as one, so that none can clash with the stage's own
+    row = docs.select(F.col("doc_id").alias("__of"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    out = row.join(kept, F.col("__of").eqNullSafe(F.col("__id")))
     if kept.filter("__n > 1").isEmpty():
-        return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        return out.select("__row.*")
     # only rows whose id repeats are dealt by their text
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    first = Window.partitionBy("doc_id", F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).orderBy(F.lit(0))
+    first = Window.partitionBy("__of", F.xxhash64("__row.text"), F.xxhash64(F.lit(1), "__row.text")).orderBy(F.lit(0))
     again = out.filter("__n > 1").withColumn("__turn", F.row_number().over(first)).filter("__turn = 1")
-    return out.filter("__n = 1").select(*cols).unionByName(again.select(*cols))
+    return out.filter("__n = 1").select("__row.*").unionByName(again.select("__row.*"))

@@ -28,7 +28,8 @@ CAPACITY = 1024
 END_TOKEN = 2
 OPEN_BINS = 1024
 BLOCK = 65_536
-CACHED_WORDS = 300_000
+#: Bytes of words and ids that a task remembers, and the longest word among them.
+CACHED_BYTES, LONGEST_WORD = 48 << 20, 64
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The tokeniser whose added tokens stand for their text wherever it occurs.
 TOKENIZER = "byte_bpe_50k.json"
@@ -43,13 +44,14 @@ class Ids(dict):
     """
 
     def __init__(self, encode: Callable[[str], list[int]], most: int):
-        self.encode, self.most = encode, most
+        self.encode, self.left = encode, most
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
             raise KeyError(word)
         out = np.array(self.encode(" " + word), "<u4").tobytes()
-        if len(self) < self.most:
+        if self.left > 0 and len(word) <= LONGEST_WORD:
+            self.left -= 200 + len(word) + len(out)
             self[word] = out
         return out
 
@@ -74,7 +76,7 @@ def encoder(vocabulary: str | None = None, tokenizer: str | None = None) -> Call
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    cache = Ids(encode, CACHED_WORDS)
+    cache = Ids(encode, CACHED_BYTES)
     whole, added = _added(public_tokenizers.path(tokenizer)) if tokenizer else (None, [])
 
     def ids(text: bytes) -> bytes:
@@ -200,5 +202,6 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their sequences, as op6 gives them; a document that stands twice is packed twice."""
     common.ship(spark)
     return pack_documents(docs)

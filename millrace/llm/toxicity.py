@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from millrace.llm import common
 
 MOST_LABELLED = 10_000
+#: Bounds on the model, not on what is scored: word beginnings considered, and entries kept, the weightiest.
 MOST_CANDIDATES = 50_000
 MOST_ENTRIES = 5_000
 SHORTEST, LONGEST = 3, 12
@@ -209,7 +210,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED):
 
 
 def score(docs: DataFrame, model) -> DataFrame:
-    """docs' columns without text, and score and matches."""
+    """docs' columns without text, and score and matches; input columns of these names give way."""
+    docs = docs.drop("score", "matches")
     lexicon, exceptions, link = model
     if link is None:
         return docs.drop("text").withColumns({"score": F.lit(0.0), "matches": F.lit(0).cast("long")})
