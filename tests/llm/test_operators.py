@@ -120,13 +120,43 @@ def test_op2_draw(docs, none, labels):
     assert {r["log_weight"] for r in records(resampling.resample(docs, labels.limit(0)))} == {0.0}
 
 
+def test_op2_log_weights(spark, docs, labels):
+    """Every log weight against counts in plain Python; long texts are not scaled."""
+    from millrace.llm import common
+
+    def grams(t):
+        w = bytes(x + 32 if 65 <= x <= 90 else x for x in t.encode()).split()
+        one = [common.word_hashes(np.frombuffer(x, np.uint8))[0] for x in w]
+        two = [common.ngram_hashes(np.array(one[i : i + 2], np.uint64), 2)[0] for i in range(len(one) - 1)]
+        return [int(x) >> 50 for x in [*(common.mix(np.array([x], np.uint64))[0] for x in one), *two]]
+
+    short = [(i, " ".join(t.split()[:400])) for i, t in TEXTS]
+    bags = [grams(t) for _, t in short]
+    good = {i for i in range(90) if i % 2}
+    raw, target = collections.Counter(), collections.Counter()
+    for (d, _), b in zip(short, bags, strict=True):
+        raw.update(b)
+        target.update(b if d in good else [])
+    size = resampling.BUCKETS
+    p, q = (lambda x: (target[x] + 1) / (sum(target.values()) + size)), (lambda x: (raw[x] + 1) / (sum(raw.values()) + size))
+    want = sorted((str(d), len(b), round(sum(np.log(p(x)) - np.log(q(x)) for x in b), 6)) for (d, _), b in zip(short, bags, strict=True))
+    got = records(resampling.resample(spark.createDataFrame(short, "doc_id long, text string"), labels, share=0.5))
+    got = sorted((str(r["doc_id"]), r["n_features"], round(r["log_weight"], 6)) for r in got)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=1e-5)
+
+
 # Search
 
 
-def test_op3_against_brute_force(spark):
+@pytest.mark.parametrize("block_bytes", [exact_topk.BLOCK_BYTES, 2000])
+def test_op3_against_brute_force(spark, monkeypatch, block_bytes):
+    """In one query block, and in many."""
+    monkeypatch.setattr(exact_topk, "BLOCK_BYTES", block_bytes)
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.choice([-1.0, -0.25, 0.0, 0.3, 0.9], 40)]) for i in range(700)]
     rows += [(1000 + i, rows[7][1]) for i in range(30)] + [(800, None), (900, [1.0, None]), (901, [float("nan")] * 40), (902, [float("inf")] * 40), (903, []), (1100, [0.5] * 3), (1101, [0.5] * 3), (1200, [3e9] * 40), (None, rows[0][1])]
+    rows += [(1300, [float("nan")] * 40), (1300, [0.3] * 40)]  # the row that can be used asks
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
     usable = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     want = set()
@@ -258,6 +288,28 @@ def test_op5_held_out_accuracy(spark, docs, none):
     assert {r["score"] for r in records(toxicity.score(df.limit(5), toxicity.learn(df, marks.limit(0))))} == {0.0}
 
 
+def test_op5_scores_by_brute_force(spark, docs):
+    """Each score again from the learnt lexicon, exceptions and weights, word by word and without an automaton."""
+    df, marks = planted(spark)
+    lexicon, exceptions, link = model = toxicity.learn(df, marks)
+    exceptions = exceptions | {"vile"} if "vile" in lexicon else exceptions
+    model = lexicon, exceptions, link
+    rows = [(1, "a vile grumphing"), (2, ""), (3, None), (4, "gr0mp3d " * 3000), (5, "ѕneer, VILELY! x")] + [(r.doc_id, r.text) for r in df.collect()]
+    got = {r["doc_id"]: r for r in records(toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model))}
+    for d, t in dict(rows).items():
+        words = [(m.group(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", toxicity.fold(t or ""))]
+        folded, hits = toxicity.fold(t or ""), []
+        for w, at, end in words:
+            fit = [e for e in lexicon if w.startswith(e)]
+            before, after = re.findall(r"[^\W_]+", folded[max(0, at - 40) : at])[-1:], re.findall(r"[^\W_]+", folded[end : end + 40])[:1]
+            if fit and not exceptions & {w, *(f"{x} {w}" for x in before), *(f"{w} {x}" for x in after)}:
+                hits.append(max(fit, key=lambda e: lexicon[e]))
+        total = sum(lexicon[e] for e in hits)
+        x = np.log1p([total, 100 * total / (len(WORD.findall(t or "")) + 20), len(set(hits))])
+        assert got[d]["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(np.append(x, 1) @ link.w, -30, 30))), abs=1e-9)
+        assert got[d]["matches"] == len(set(hits))
+
+
 def test_op5_folding_and_exceptions():
     assert toxicity.fold("VіL3​ ｓｃｕｍ") == "vile scum"
     m = toxicity.Matcher({"vile": 2.0, "vil": 1.0}, frozenset({"vile potion"}))
@@ -278,6 +330,35 @@ def test_op7_held_out_accuracy(spark, docs, none):
     assert language.learn(none) is None and records(language.identify(df.limit(1), None))[0]["lang_pred"] == "und"
 
 
+def test_op7_scores_by_brute_force(spark):
+    """Each prediction again from the learnt table, subword by subword; a long text as a whole."""
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choice(["abcdeo", "xyzwu"][i % 2]) for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(2, 40))), ["aa", "bb"][i % 2]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(df)
+    again = language.learn(df.repartition(7))
+    assert model.names == again.names and np.array_equal(model.table, again.table)
+    mult = lambda h, x: ((h ^ h >> 15) * 0x85EBCA77 + x * 0xC2B2AE3D) & 0xFFFFFFFF
+    for text in [*(t for _, t, _ in rows[:20]), "A", "Éa 7 ñ_b", "abc xyz " * 30_000]:
+        data = [x + 32 if 65 <= x <= 90 else x for x in f" {text.lower()} ".encode()]
+        data = [x if 97 <= x <= 122 or x >= 128 else 32 for x in data]
+        z, n = np.zeros(len(model.names)), 0
+        for i in range(len(data) - 1):
+            h = data[i] * 0x9E3779B1 & 0xFFFFFFFF
+            for size in (2, 3, 4):
+                if i + size > len(data):
+                    break
+                h = mult(h, data[i + size - 1])
+                part = data[i : i + size]
+                if (part != [32, 32]) if size == 2 else 32 not in part[1:-1]:
+                    z += model.table[h >> 17]
+                    n += 1
+        z = (z / max(1, n) + model.bias) / model.temperature
+        p = np.exp(z - z.max())
+        name, score = model.predict(text)
+        assert score == pytest.approx(p.max() / p.sum(), abs=1e-6) and name == model.names[int(p.argmax())]
+
+
 # Packing
 
 
@@ -286,17 +367,16 @@ def test_op6_round_trip(docs, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    got = records(packing.pack_documents(docs.dropDuplicates(["doc_id", "text"]), with_ids=True))
-    by = collections.defaultdict(list)
+    got = records(packing.pack_documents(docs, with_ids=True))
+    have, want = collections.Counter(), collections.Counter()
     for r in got:
         assert r["ids_crc32"] == zlib.crc32(r["ids"]) and len(r["ids"]) == 4 * r["length"] <= 4096
-        by[r["doc_id"]].append(r)
-    for d, text in set(TEXTS):
-        want = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4")
-        parts = sorted(by[d], key=lambda r: r["piece"])
-        assert b"".join(r["ids"] for r in parts) == want.tobytes()
-        assert [r["start"] for r in parts] == list(np.cumsum([0, *(r["length"] for r in parts)])[:-1])
-        assert all(r["length"] == 1024 for r in parts[1:])
+        have[r["doc_id"], r["piece"], r["start"], bytes(r["ids"])] += 1
+    for d, text in TEXTS:  # a row that is repeated is packed as often
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        at = [0, *range(len(ids) % 1024 or 1024, len(ids), 1024), len(ids)] if len(ids) > 1024 else [0, len(ids)]
+        want.update((d, k, a, ids[a:z].tobytes()) for k, (a, z) in enumerate(zip(at, at[1:], strict=False)))
+    assert have == want and max(have.values()) > 1
     seq = collections.defaultdict(list)
     for r in got:
         seq[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -343,9 +423,25 @@ def test_op6_best_fit_is_tight():
 # Mixing
 
 
-def test_op8_targets():
-    assert mixing.targets([10, 100, 100], [5, 2, 1], 315, 2) == pytest.approx([20, 196.6667, 98.3333], abs=1e-3)
-    assert mixing.targets([0, 0], [5, 2], 0, 2) == [0.0, 0.0]
+def water(sizes, weights, budget, repeats):
+    """Targets by search for the level at which min(cap, weight * level) sums up to the budget."""
+    caps = [repeats * x for x in sizes]
+    low, high = 0.0, 1e15
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(c, w * mid) for c, w in zip(caps, weights, strict=True)) < min(budget, sum(caps)) else (low, mid)
+    return [min(c, w * high) for c, w in zip(caps, weights, strict=True)]
+
+
+@pytest.mark.parametrize("sizes", [[10, 100, 100], [0, 0], [0, 5, 7, 1000], [1, 1, 1, 1, 1, 1, 900], [50], [3, 0, 800, 20, 20, 1]])
+def test_op8_targets(spark, sizes):
+    from millrace.llm import common
+
+    rows = [(f"s{i}", n) for i, n in enumerate(sizes)]
+    plan, budget = mixing.targets(spark.createDataFrame(rows, "source string, size long"), mixing.WEIGHTS, 1.5, 2, common.Scratch(spark))
+    want = water(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))], 1.5 * sum(sizes), 2)
+    assert [r.target for r in sorted(plan.collect(), key=lambda r: r.source)] == pytest.approx(want, rel=1e-9)
+    assert budget == pytest.approx(1.5 * sum(sizes))
 
 
 def test_op8_mix(docs, none):
@@ -355,7 +451,7 @@ def test_op8_mix(docs, none):
     for _, t, _, s, *_ in ROWS:
         sizes[s] += len(WORD.findall(t or ""))
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    want = dict(zip(order, mixing.targets([sizes[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5 * sum(sizes.values()), 2), strict=True))
+    want = dict(zip(order, water([sizes[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5 * sum(sizes.values()), 2), strict=True))
     taken, largest = collections.Counter(), collections.Counter()
     for r in got:
         assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]]) and 0 <= r["copies"] <= 2
