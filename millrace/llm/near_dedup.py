@@ -88,14 +88,13 @@ def sketch(found: np.ndarray) -> np.ndarray:
 def _describe(words):
     def run(batches):
         for b in batches:
-            n, cls, sig, fine = [], [], [], []
+            n, cls, sig = [], [], []
             for text in common.texts(b):
                 s = shingles(text, words)
                 n.append(len(s))
                 cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig.append(signature(s).tobytes() if len(s) else None)
-                fine.append(sketch(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (cls, sig, fine))], names=["doc_id", "n_shingles", "cls", "sig", "fine"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "cls", "sig"])
 
     return run
 
@@ -202,9 +201,10 @@ def _pairs_of(size: int, count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare(spanning: bool):
-    """Rows (node, cls, sig, root) sorted by node to candidate pairs (a, b).
+    """Rows (node, cls, sig, root) sorted by node to candidate pairs (a, b) and, with no ends, nodes.
 
-    spanning: only what joins classes that the task has not joined yet, most alike first.
+    spanning: only what joins classes that the task has not joined yet, most alike first,
+    and the nodes that have other candidate pairs as well.
     Otherwise every candidate pair whose roots differ.
     """
 
@@ -239,12 +239,13 @@ def _compare(spanning: bool):
             if not got:
                 return
             same, i, j = (np.concatenate(x) for x in zip(*got, strict=True))
-            a, b_ = [], []
+            a, b_, more = [], [], set()
             for k in np.argsort(-same, kind="stable"):
                 x, y = sorted((cls[i[k]], cls[j[k]]))
                 if spanning:
                     p, q = top(x), top(y)
                     if p == q:
+                        more.add(int(node[i[k]]))
                         continue
                     if len(parent) > REMEMBERED:
                         parent.clear()
@@ -257,7 +258,8 @@ def _compare(spanning: bool):
                     told.add(x + y)
                 a.append(x)
                 b_.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b_, pa.binary())], names=["a", "b"])
+            nothing = [None] * len(more)
+            yield pa.RecordBatch.from_arrays([pa.array(a + nothing, pa.binary()), pa.array(b_ + nothing, pa.binary()), pa.array([None] * len(a) + list(more), pa.int64())], names=["a", "b", "node"])
 
         held = None
         for b in batches:
@@ -297,11 +299,11 @@ def _against(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
 
 
-def _unsettled(rows: DataFrame, sigs: DataFrame, roots: DataFrame, scratch: common.Scratch, small: int):
+def _unsettled(rows: DataFrame, sigs: DataFrame, roots: DataFrame, scratch: common.Scratch, small: int, sketched):
     """The classes of large nodes (node, cls) that may have links between components:
     candidate pairs (a, b), and the small nodes (node, cls) to compare exhaustively."""
     of = roots.select(F.col("node").alias("cls"), "root")
-    pairs, nodes, depth = [], [], 0
+    pairs, nodes, depth, sketches = [], [], 0, None
     while True:
         rooted = scratch.keep(rows.join(of, "cls", "left").select("node", "cls", F.coalesce("root", "cls").alias("root")))
         by = rooted.groupBy("node", "root").agg(F.count("*").alias("n"))
@@ -312,9 +314,11 @@ def _unsettled(rows: DataFrame, sigs: DataFrame, roots: DataFrame, scratch: comm
         big = live.filter(F.col("size") > small)
         if big.isEmpty():
             return pairs, nodes
+        if sketches is None:
+            sketches = sketched(big.select("cls").distinct())  # later nodes hold no others
         met = big.filter("not on")
         if not met.isEmpty():
-            met = met.join(sigs.select("cls", "fine"), "cls")
+            met = met.join(sketches, "cls")
             every = scratch.keep(_in_blocks(met, "size", names="cls", fine="fine", roots="root").drop("block"))
             strays = scratch.keep(_in_blocks(met.filter("root != main"), "strays", onames="cls", ofine="fine", oroots="root").drop("block"))
             both = every.join(strays, "node").drop("node")
@@ -345,9 +349,11 @@ def classes_and_links(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     """(described, links, roots, scratch): the documents with their class, the confirmed links
     between classes, and (node, root) of every class that has one."""
     scratch = common.Scratch(docs.sparkSession)
-    described = scratch.keep(docs.select("doc_id", "text").mapInArrow(_describe(words), "doc_id long, n_shingles long, cls binary, sig binary, fine binary"))
+    signed = scratch.keep(docs.select("doc_id", "text").mapInArrow(_describe(words), "doc_id long, n_shingles long, cls binary, sig binary"))
     # Equal sets have equal signatures: any row's will do.
-    sigs = scratch.keep(described.filter("cls is not null").groupBy("cls").agg(F.min("sig").alias("sig"), F.min("fine").alias("fine"), F.min("doc_id").alias("of")))
+    sigs = scratch.keep(signed.filter("cls is not null").groupBy("cls").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("of")))
+    described = scratch.keep(signed.drop("sig"))
+    scratch.drop(signed)
     rows = scratch.keep(sigs.select("cls", "sig").mapInArrow(_plant(trees), "node long, cls binary"))
     linked, small, large = [], [], None
     while True:
@@ -380,24 +386,36 @@ def classes_and_links(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
         met = nodes.join(sigs.select("cls", "sig"), "cls")
         met = met.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left") if roots is not None else met.withColumn("root", F.lit(None).cast("binary"))
         met = met.withColumn("root", F.coalesce("root", "cls")).repartition("node").sortWithinPartitions("node").select("node", "cls", "sig", "root")
-        return met.mapInArrow(_compare(roots is None), "a binary, b binary")
+        return met.mapInArrow(_compare(roots is None), "a binary, b binary, node long")
 
-    def confirmed(pairs):
-        ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        ends = scratch.keep(ends.join(sigs.select("cls", "of"), "cls").select("cls", "of"))
+    def own_sets(classes, of=lambda s: s.tobytes()):
+        """(cls, found) of the classes, at least once each: what ``of`` makes of their sets."""
+        ends = scratch.keep(classes.join(sigs.select("cls", "of"), "cls").select("cls", "of"))
         few = ends.count() <= BROADCAST_IDS
         found = picks.join(F.broadcast(ends) if few else ends, F.col("doc_id") == F.col("of"))
         # an id that stands on several rows brings several texts; only the class's own counts
-        sets = found.select("cls", "text").mapInArrow(_own_sets(words), "cls binary, found binary")
+        return found.select("cls", "text").mapInArrow(_own_sets(words, of), "cls binary, found binary")
+
+    def confirmed(pairs):
+        sets = own_sets(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct())
         x, y = sets.select(F.col("cls").alias("a"), F.col("found").alias("x")), sets.select(F.col("cls").alias("b"), F.col("found").alias("y"))
         met = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
         return scratch.keep(met.mapInArrow(_confirm(num, den), "a binary, b binary").distinct())
 
-    first = scratch.keep(union([compared(union(small), None), *linked]).distinct())
+    def sketched(classes):
+        return scratch.keep(own_sets(classes, lambda s: sketch(s).tobytes()).dropDuplicates(["cls"]).withColumnRenamed("found", "fine"))
+
+    met = scratch.keep(compared(union(small), None))
+    first = scratch.keep(union([met.filter("a is not null").select("a", "b"), *linked]).distinct())
     links = confirmed(first)
     roots = graph.components(links, scratch)
-    pairs, nodes = _unsettled(large, sigs, roots, scratch, small_node) if large is not None else ([], [])
-    second = union([compared(union(small + nodes), roots), *pairs]).distinct()
+    pairs, nodes = _unsettled(large, sigs, roots, scratch, small_node, sketched) if large is not None else ([], [])
+    # small nodes that gave all their candidate pairs, or whose classes are of one component, have no more to give
+    left = union(small).join(scratch.keep(met.filter("a is null").select("node").distinct()), "node")
+    rooted = left.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("node", "cls", F.coalesce("root", "cls").alias("root"))
+    rooted = scratch.keep(rooted)
+    mixed = rooted.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("node")
+    second = union([compared(union([rooted.join(scratch.keep(mixed), "node").select("node", "cls"), *nodes]), roots).select("a", "b"), *pairs]).distinct()
     second = scratch.keep(second.join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         links = links.unionByName(confirmed(second))
@@ -405,15 +423,15 @@ def classes_and_links(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     return described, links, roots, scratch
 
 
-def _own_sets(words):
+def _own_sets(words, of):
     def run(batches):
         for b in batches:
             cls, out = [], []
             for c, t in zip(b.column(0).to_pylist(), common.texts(b), strict=True):
-                s = shingles(t, words).tobytes()
-                if hashlib.blake2b(s, digest_size=16).digest() == c:
+                s = shingles(t, words)
+                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == c:
                     cls.append(c)
-                    out.append(s)
+                    out.append(of(s))
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(out, pa.binary())], names=["cls", "found"])
 
     return run
