@@ -20,8 +20,8 @@ QUERIES: dict[str, Query] = {
     "agg_avg": same("select l_suppkey, avg(l_linenumber) as a, avg(distinct l_linenumber) as d from lineitem group by l_suppkey"),
     "agg_min": same("select o_orderstatus, min(o_totalprice) as p, min(o_orderpriority) as t, min(o_orderkey) as k from orders group by o_orderstatus"),
     "agg_max": same("select o_orderstatus, max(o_totalprice) as p, max(o_orderpriority) as t, max(o_orderkey) as k from orders group by o_orderstatus"),
-    "agg_string_agg": pair("select n_regionkey, string_agg(cast(n_nationkey as string), ', ') within group (order by cast(n_nationkey as string)) as names from nation group by n_regionkey", "select n_regionkey, string_agg(n_nationkey::varchar, ', ' order by n_nationkey::varchar) as names from nation group by n_regionkey"),
-    "agg_string_agg_ordered": pair("select n_regionkey, string_agg(n_name, ',') within group (order by n_name desc) as names from nation group by n_regionkey", "select n_regionkey, string_agg(n_name, ',' order by n_name desc) as names from nation group by n_regionkey"),
+    "agg_string_agg": pair("select n_regionkey, string_agg(n_nationkey::text order by n_nationkey::text) as names, (select string_agg(n_name) from nation where n_nationkey = 3) as one from nation group by n_regionkey", "select n_regionkey, string_agg(n_nationkey::varchar, ', ' order by n_nationkey::varchar) as names, 'NATION_3' as one from nation group by n_regionkey"),
+    "agg_string_agg_ordered": pair("select n_regionkey, string_agg(n_name, ',' order by n_name desc) as names from nation group by n_regionkey", "select n_regionkey, string_agg(n_name, ',' order by n_name desc) as names from nation group by n_regionkey"),
     "agg_bool_and": same("select c_mktsegment, bool_and(c_acctbal > -900) as a from customer group by c_mktsegment"),
     "agg_bool_or": same("select c_mktsegment, bool_or(c_acctbal > 9900) as o, bool_or(cast(null as boolean)) as x from customer group by c_mktsegment"),
     "agg_expr_arg": frame(lambda l: l.groupBy("l_returnflag").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("s")), "select l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) as s from lineitem group by l_returnflag", "lineitem"),

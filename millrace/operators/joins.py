@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators.catalogue import Query, frame, same
+from millrace.operators.ranges import range_join
 
 QUERIES: dict[str, Query] = {
     "join_inner_hash": frame(lambda c, o: c.join(o, c.c_custkey == o.o_custkey).select("c_custkey", "o_orderkey"), "select c_custkey, o_orderkey from customer join orders on c_custkey = o_custkey", "customer", "orders"),
@@ -16,7 +17,9 @@ QUERIES: dict[str, Query] = {
     "join_null_keys": same("select a.n_nationkey as a, b.n_nationkey as b from (select n_nationkey, nullif(n_regionkey, 1) as k from nation) a left join (select n_nationkey, nullif(n_regionkey, 1) as k from nation) b on a.k = b.k"),
     "join_theta_nlj": same("select a.n_nationkey as a, b.r_regionkey as b from nation a left join region b on a.n_regionkey < b.r_regionkey or a.n_nationkey = b.r_regionkey * 2"),
     "join_multi_key": same("select l.l_orderkey, l.l_linenumber, m.l_partkey from lineitem l join lineitem m on l.l_orderkey = m.l_orderkey and l.l_linenumber = m.l_linenumber and l.l_quantity > 49"),
-    "join_range": same("select count(*) as n from nation a join supplier b on b.s_acctbal between a.n_nationkey * 100.0 and a.n_nationkey * 100.0 + 500"),
+    "join_range": frame(
+        lambda a, b: range_join(b, F.col("s_acctbal"), a, F.col("n_nationkey") * 100.0, F.col("n_nationkey") * 100.0 + 500, 500).agg(F.count("*").alias("n")),
+        "select count(*) as n from nation a join supplier b on b.s_acctbal between a.n_nationkey * 100.0 and a.n_nationkey * 100.0 + 500", "nation", "supplier"),
     "join_cross": frame(lambda r, n: r.crossJoin(n).select("r_name", "n_name"), "select r_name, n_name from region cross join nation", "region", "nation"),
     "join_comma": same("select n_name, r_name, s_name from nation, region, supplier where n_regionkey = r_regionkey and s_nationkey = n_nationkey"),
     "join_multiway": same("select c_custkey, n_name, r_name, o_orderkey from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey join orders on o_custkey = c_custkey where o_totalprice > 250000"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators.catalogue import Query, frame, pair, same
+from millrace.plans.text import VERSION
 
 QUERIES: dict[str, Query] = {
     "scan_table": frame(lambda n: n, "select * from nation", "nation"),
@@ -14,11 +15,12 @@ QUERIES: dict[str, Query] = {
     "scan_subquery": same("select s.k, s.n from (select n_regionkey as k, count(*) as n from nation group by n_regionkey) s where s.n > 2"),
     "scan_no_from": same("select 1 as one, 'a' as a, cast(null as bigint) as nothing"),
     "source_values": same("select k, v from (values (1, 'a'), (2, 'b'), (3, cast(null as varchar(10)))) as t(k, v)"),
-    "schema_qualified": frame(lambda r: r.alias("public").select("public.r_name"), "select r_name from region", "region"),
+    "schema_qualified": pair("select public.region.r_name from public.region", "select r_name from region"),
     "sink_result": frame(lambda r: r.select(F.concat_ws("|", F.col("r_regionkey").cast("string"), "r_name").alias("line")), "select r_regionkey || '|' || r_name as line from region", "region"),
     "file_segment_read": frame(lambda p: p.select("p_partkey", "p_size"), "select p_partkey, p_size from part", "part"),
     "zone_map": frame(lambda o: o.filter(F.col("o_orderkey").between(100, 200)).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi")), "select count(*) as n, min(o_orderkey) as lo, max(o_orderkey) as hi from orders where o_orderkey between 100 and 200", "orders"),
-    "wire_extended": Query(lambda spark, folder: spark.sql("select n_name from {nation} where n_regionkey = :r and n_name <> :x", args={"r": 1, "x": "NATION_1"}, nation=spark.read.parquet(f"{folder}/nation.parquet")), "select n_name from nation where n_regionkey = 1 and n_name <> 'NATION_1'"),
+    "wire_extended": pair("select n_name from nation where n_regionkey = :r and n_name <> :x", "select n_name from nation where n_regionkey = 1 and n_name <> 'NATION_1'", {"r": 1, "x": "NATION_1"}),
+    "system_funcs": pair("select version() as v, current_database() as d, current_schema() as s", f"select '{VERSION}' as v, 'millrace' as d, 'public' as s"),
     "project_columns": frame(lambda c: c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "select c_custkey as id, c_name as name from customer", "customer"),
     "project_star": same("select n.*, r.r_name from nation n join region r on n.n_regionkey = r.r_regionkey"),
     "project_expr": same("select l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) as net, l_quantity + 1 as q from lineitem"),

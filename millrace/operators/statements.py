@@ -6,6 +6,7 @@ where that is unset.
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -17,7 +18,10 @@ from millrace.sources import tables
 
 
 def engine(spark: SparkSession) -> Engine:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/millrace-store"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+    root = root or f"file://{tempfile.gettempdir()}/millrace-store"
     return Engine(spark, f"{root}/store-{uuid.uuid4().hex}")
 
 
@@ -128,10 +132,77 @@ QUERIES |= {
     "file_segment_write": Query(_written, "select p_partkey, p_brand from part"),
     "seq_create": _state("select 1::int as id, 'a' as v", "create table s (id serial, v text)", "insert into s (v) values ('a')", answer="select * from s"),
     "wire_simple": _state("select count(*) as c from nation", answer="select count(*) as c from public.n"),
+    "dml_update_subquery": _state(
+        "select n_nationkey, case when n_nationkey in (select r_regionkey from region) then (select max(r_name) from region) || n_regionkey else n_name end as n_name, case when n_nationkey < 5 then n_regionkey + 1 else n_regionkey end as n_regionkey from nation",
+        "update n set n_name = (select max(r_name) from source_region) || n_regionkey, n_regionkey = n_regionkey + 1 where n_nationkey in (select r_regionkey from source_region)"),
+    "dml_delete_subquery": _state(
+        "select * from nation where n_nationkey not in (select r_regionkey from region) and n_nationkey <> (select max(n_nationkey) from nation)",
+        "delete from n where exists (select 1 from source_region where r_regionkey = n.n_nationkey) or n_nationkey = (select max(n_nationkey) from n)"),
+    "dml_update_rounds": _state("select n_nationkey, n_name, case when n_nationkey = 1 then 3 when n_nationkey = 2 then 1 else n_regionkey end as n_regionkey from nation", "update n set n_regionkey = 2.5 where n_nationkey = 1", "update n set n_regionkey = 3 / 2 where n_nationkey = 2"),
+    "con_unique_multi": Query(_refused("insert into n values (0, 0, 'again')", "insert into n values (90, 1, 'x'), (90, 1, 'y')", "update n set a = 1, b = 1", table="create table n (a int, b int, v text, unique (a, b))", load=_PAIR["load"]), _PAIRS),
+    "con_key_dropped": _state("select n_regionkey as a, n_name as v from nation union all select 0, 'again'", "create table p (a int, b int, v text, primary key (a, b))", "insert into p select n_regionkey, n_nationkey, n_name from source", "alter table p drop column b", "insert into p values (0, 'again')", answer="select * from p"),
+    "schema_tables": _state("select n_name as v from nation where n_nationkey = 3 union all select 'own'", "create table s.t (v text)", "insert into s.t select n_name from source where n_nationkey = 3", "insert into s.t values ('own')", answer="select v from s.t"),
+    "wal_append": Query(lambda spark, folder: _logged(spark, folder), "select 4::bigint as entries, 1::bigint as after_vacuum, 'could not commit: another engine has changed the tables' as refused"),
+    "wal_read": Query(lambda spark, folder: _torn(spark, folder), _ALL),
+    "util_multi_stmt": Query(lambda spark, folder: _message(spark, lambda: engine(spark).sql("select 1; select 2")), "select 'syntax error: exactly one statement is expected' as message"),
+    "api_parse": Query(lambda spark, folder: _parsed(spark), " union all ".join(f"select '{k}' as kind, {t} as is_tree" for k, t in (("SELECT", "true"), ("WITH", "true"), ("INSERT", "false"), ("CREATE TABLE", "false"), ("UPDATE", "false")))),
+    "vec_type_error": Query(lambda spark, folder: _type_error(spark), "select 'a vector is expected' as message"),
     "vec_dim_error": Query(lambda spark, folder: _dimension_error(spark), "select 'different vector dimensions' as message"),
 }
 
 
+def _message(spark: SparkSession, run) -> DataFrame:
+    """What a statement is refused with."""
+    try:
+        run()
+    except ValueError as e:
+        return spark.createDataFrame([(str(e),)], "message string")
+    raise AssertionError("not refused")
+
+
+def _logged(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of the log after four commits, and after a vacuum; and a commit on a state that another engine has left behind."""
+    e = engine(spark)
+    tables.read(spark, folder, "nation").createOrReplaceTempView("source")
+    for s in (_NATION, _LOAD, "update n set n_name = 'x' where n_nationkey = 1"):
+        e.sql(s)
+    late = Engine(spark, e.store.root)
+    e.sql("delete from n where n_nationkey = 2")
+    entries = len(e.store.entries())
+    refused = _message(spark, lambda: late.sql("delete from n")).first().message
+    e.sql("vacuum")
+    assert e.sql("select * from n").df.count() == tables.read(spark, folder, "nation").count() - 1
+    return spark.createDataFrame([(entries, len(e.store.entries()), refused)], "entries long, after_vacuum long, refused string")
+
+
+def _torn(spark: SparkSession, folder: str) -> DataFrame:
+    """What is read where the log ends in half an entry."""
+    e = engine(spark)
+    tables.read(spark, folder, "nation").createOrReplaceTempView("source")
+    for s in (_NATION, _LOAD):
+        e.sql(s)
+    out = e.store._files.create(e.store._path(f"{e.store.root}/log/{9:020d}.json"))
+    out.write(bytearray(b'{"tables": {"public.n": {'))
+    out.close()
+    return Engine(spark, e.store.root).sql("select * from n").df
+
+
+def _parsed(spark: SparkSession) -> DataFrame:
+    e = Engine(spark, None)
+    found = [json.loads(e.parse(s)) for s in ("select a::text, b / 2 from t", "with t as (select 1) select * from t", "insert into t values (1)", "create table t (x int)", "update t set x = 1")]
+    return spark.createDataFrame([(x["kind"], "tree" in x) for x in found], "kind string, is_tree boolean")
+
+
+def _type_error(spark: SparkSession) -> DataFrame:
+    try:
+        Engine(spark, None).sql("select 5 <-> '[1,2,3]' as d").df.collect()
+    except Exception as x:  # noqa: BLE001  Spark raises its own kinds
+        found = "a vector is expected" if "DATATYPE_MISMATCH" in str(x) else "another error"
+    else:
+        found = "no error"
+    return spark.createDataFrame([(found,)], "message string")
+
+
 def _dimension_error(spark: SparkSession) -> DataFrame:
     e = engine(spark)
     e.sql("create table v (vec vector(2))")

@@ -12,11 +12,13 @@ QUERIES: dict[str, Query] = {
     "subq_exists": same("select n_name from nation where exists (select 1 from supplier where s_nationkey = n_nationkey and s_acctbal > n_nationkey * 300)"),
     "subq_not_exists": same("select n_name from nation where not exists (select 1 from supplier where s_nationkey = n_nationkey)"),
     "subq_any": pair(
-        "select o_orderkey from orders o where exists (select 1 from nation where n_nationkey * 15000.0D > o.o_totalprice)",
+        "select o_orderkey from orders o where o_totalprice < any (select n_nationkey * 15000.0 from nation)",
         "select o_orderkey from orders o where o_totalprice < any (select n_nationkey * 15000.0 from nation)"),
     "subq_all": pair(
-        "select o_orderkey from orders o where not exists (select 1 from orders i where i.o_custkey = o.o_custkey and coalesce(not (o.o_totalprice >= i.o_totalprice), true))",
+        "select o_orderkey from orders o where o_totalprice >= all (select o_totalprice from orders i where i.o_custkey = o.o_custkey)",
         "select o_orderkey from orders o where o_totalprice >= all (select o_totalprice from orders i where i.o_custkey = o.o_custkey)"),
+    "subq_all_alone": same("select s_suppkey, s_nationkey > all (select n_nationkey from nation where n_regionkey = 3) as a, s_nationkey <= all (select nullif(n_nationkey, 3) from nation) as b, s_nationkey >= any (select n_nationkey from nation where n_nationkey > 99) as c from supplier"),
+    "subq_not_in_null": same("select s_suppkey, s_nationkey not in (select nullif(n_nationkey, 3) from nation where n_regionkey < 3) as a, nullif(s_nationkey, 5) not in (select n_nationkey from nation where n_regionkey = 1) as b, nullif(s_nationkey, 5) not in (select n_nationkey from nation where n_regionkey > 9) as c from supplier"),
     "subq_in_select": same("select c_custkey, c_custkey in (select o_custkey from orders where o_totalprice > 200000) as rich, exists (select 1 from supplier where s_nationkey = c_nationkey) as near from customer"),
     "subq_from": same("select t.k, t.n * 2 as m from (select c_nationkey as k, count(*) as n from customer group by c_nationkey) as t"),
     "cte_basic": same("with t as (select o_custkey, count(*) as n from orders group by o_custkey) select o_custkey, n from t where n > 12"),

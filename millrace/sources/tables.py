@@ -13,9 +13,6 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def sql(spark: SparkSession, folder: str, text: str) -> DataFrame:
-    """Run SQL over the folder's tables; only those that the text names are opened."""
-    for name in NAMES:
-        if re.search(rf"\b{name}\b", text):
-            read(spark, folder, name).createOrReplaceTempView(name)
-    return spark.sql(text)
+def named(text: str) -> list[str]:
+    """The tables whose names stand in a text."""
+    return [name for name in NAMES if re.search(rf"\b{name}\b", text)]

@@ -84,10 +84,53 @@ def test_vector_dimensions(db):
     ("given", "want"),
     [
         ("select a from t order by a desc, b nulls first limit 3", "a desc NULLS LAST , b nulls first limit 3"),
-        ("select x <=> y from t", "x <=> y"),
+        ("select a::text, b::float8, cast(c as integer), 1.5 from t", "cast ( a as string ) , cast ( b as double ) , cast ( c as int ) , 1.5D"),
         ("select row_number() over (order by a) from t", "order by a NULLS LAST )"),
         ("select 'it''s a . b' from s.t", "'it''s a . b' from s.t"),
     ],
 )
 def test_rewrites(given, want):
     assert want in text.to_spark(text.tokens(given))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_statements_join_on_their_keys(db, spark, monkeypatch):
+    """UPDATE ... FROM and DELETE ... USING plan equi joins, and a statement writes only parts that change."""
+    plans, run = [], Engine._run
+    monkeypatch.setattr(Engine, "_run", lambda self, body, **frames: (plans.append(plan_of(df := run(self, body, **frames))), df)[1])
+    db.sql("create table o (k int, v bigint)")
+    db.sql("insert into o values (1, 10), (2, 20), (2, 30)")
+    db.sql("insert into t values (8, 'h', 1)")
+    parts = list(db.store.get("t").parts)
+    assert db.sql("update t set n = o.v from o where o.k = t.id and t.id = 1").tag == "UPDATE 1"
+    assert len(set(parts) & set(db.store.get("t").parts)) == len(parts) - 1
+    assert db.sql("delete from t using o where o.k = t.id").tag == "DELETE 2"
+    assert ids(db) == [3, 4, 8]
+    assert not any("CartesianProduct" in p or "NestedLoop" in p for p in plans)
+
+
+def test_vacuum_keeps_what_is_named(db):
+    db.sql("update t set n = n + 1")
+    rows = sorted(map(tuple, db.sql("select * from t").df.collect()), key=str)
+    assert db.store.vacuum() >= 1 and db.store.vacuum() == 0
+    assert sorted(map(tuple, db.sql("select * from t").df.collect()), key=str) == rows
+
+
+@pytest.mark.parametrize("query", ["select id from t where id not in (select n from t)", "select id from t where id < all (select n from t)", "select id from t where n >= any (select id from t)"])
+def test_set_comparisons_need_no_nested_loop(db, query):
+    assert "NestedLoop" not in plan_of(db.sql(query).df) and "Cartesian" not in plan_of(db.sql(query).df)
+
+
+@pytest.mark.parametrize(
+    ("expression", "want"),
+    [
+        ("7 / 2", 3), ("-7 / 2", -3), ("7 / 2.0", 3.5), ("(1 + 2) / 2 * 3", 3), ("case when 1 / 2 = 0 then 9 / 2 end", 4), ("2147483647 + 1", 2147483648), ("cast(2.5 as int)", 3), ("'42 '::int8", 42),
+        ("2.0::text", "2"), ("(1 > 0)::text", "true"), ("'on'::bool", True), ("substring('hello', 0, 3)", "he"), ("substring('hello', -1, 3)", "h"), ("substring('hello' from 2)", "ello"), ("round(2.5)", 3), ("round(2.345, 2)", 2.35),
+        ("'[3,0]'::vector <=> '[0,4]'", 1.0), ("('[1, 2.5]'::vector)::text", "[1,2.5]"), ("1 - -1", 2), ("'a - b' || 1.5", "a - b1.5"), ("3 not in (select 1 union all select null)", None), ("5 > all (select 1 where false)", True),
+    ],
+)
+def test_values_of_the_dialect(spark, expression, want):
+    assert Engine(spark, None).sql(f"select {expression} as v").df.first().v == want
