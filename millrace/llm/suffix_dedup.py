@@ -1,21 +1,27 @@
-"""Suffix dedup by distributed prefix doubling over anchored positions.
-
-Ranks of suffixes are names of the bytes they start with: a name of 2h bytes is made from
-the names at i and i + h. Up to 64 bytes this happens inside a text. From there Spark
-groups (position, name) pairs at growing offsets, and only what is not yet unique goes on:
-
-1. 64 bytes, at anchors. Every 200-byte window is represented by its anchor, the least of
-   its 64-byte names (the first, if equal). Equal windows have equal anchors at equal
-   offsets, and about one position in 69 is an anchor, so this round is exact and small.
-2. 132 bytes, 68 to the left of the anchor or to its right: each window covers one of
-   the two, so an anchor whose name is unique there has no repeated window on that side.
-   In the same round whole runs (all bytes of the windows of one anchor) are named: runs
-   that are equal need no further round. Of the others, one run of each kind goes on.
-3. 184 bytes, common to 17 windows of neighbouring offsets, and in the same round all the
-   bytes of those windows, as in round 2.
-4. 200 bytes, the threshold, for the windows of what is left.
-
-Names are 64 bits, and rounds 2 to 4 group by two of them.
+"""Suffix dedup by distributed prefix doubling, behind filters that leave few positions to rank.
+
+Prefix doubling. A position's rank says which string starts there: equal strings, equal rank.
+Inside a text, names of 32 bytes are made by doubling from single bytes. From there Spark
+works on (position, rank, rank at an offset): it sorts the pairs over all texts, gives each
+pair the place of the first equal one as its new rank (``_rerank``), drops positions whose
+pair is unique, brings the ranks of a text's positions together again and pairs them at the
+next offset (``_pair_up``): 32, 64 and then 72, which is where 128 bytes and 128 bytes cover
+the threshold of 200. Windows that still share a rank are repeated. See ``doubling``.
+
+Ranking every position of the input would move about 24 bytes for each byte of it in each
+round; the filters before it, which lose nothing, take away what is unique or settled whole:
+
+1. Anchors. Every 200-byte window is represented by its anchor, the least of its 64-byte
+   names (the first, if equal). Equal windows have equal anchors at equal offsets, and about
+   one position in 69 is an anchor. Windows of an anchor whose name is unique are unique.
+2. Runs, all bytes of the windows of one anchor: equal runs repeat each other, and one run
+   of each kind goes on; 132 bytes to the left of the anchor or to its right are in every
+   window of that side, so where they are unique the side is.
+3. Groups of 17 windows of neighbouring offsets, in the same two ways: equal groups repeat
+   each other, and groups without a partner in the 184 bytes they have in common are unique.
+
+Names are 64 bits; runs and groups are compared by two of them, ranks by all their bytes'
+names. Rows are named by 96 bits.
 
 Defined cases: a null or empty text has no bytes and the digest of none; a text shorter
 than the window loses nothing; a row that is repeated is a repetition like any other; an
@@ -126,19 +132,19 @@ def _signed(x) -> np.ndarray:
 
 def _emit(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     cols = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(_signed(c)) for c in cols], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(_signed(c) if n != "more" else c.astype(np.int32)) for n, c in zip(names, cols, strict=True)], names=names)
 
 
 def _round_one(window, keys_only):
-    names = ["key"] if keys_only else ["key", "uid", "span", "whole", "left", "right"]
+    names = ["key"] if keys_only else ["key", "uid", "more", "span", "whole", "left", "right"]
 
     def run(batches):
         for b in batches:
-            uid = b.column(0).to_numpy()
+            uid, more = b.column(0).to_numpy(), b.column(1).to_numpy()
             buffer, rows = Buffer(window), []
 
             def take(owner, first, last, key, *rest):
-                rows.append((key,) if keys_only else (key, uid[owner], first << 32 | last, *rest))
+                rows.append((key,) if keys_only else (key, uid[owner], more[owner], first << 32 | last, *rest))
 
             for k, text in enumerate(common.texts(b)):
                 for full in buffer.add(k, text):
@@ -151,17 +157,18 @@ def _round_one(window, keys_only):
 
 
 def _cut_runs(window):
-    """(uid, text, todo) to the runs that go on, with their bytes: key, uid, first, last, sides, bytes."""
+    """(uid, more, text, todo) to the runs that go on, with their bytes: key, uid, more, first, last, sides, bytes."""
 
     def run(batches):
         for b in batches:
             out: list[tuple] = []
-            for u, text, todo in zip(b.column(0).to_pylist(), common.texts(b), b.column(2).to_pylist(), strict=True):
+            for u, more, text, todo in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), common.texts(b), b.column(3).to_pylist(), strict=True):
                 for r in todo:
                     first, last = r["span"] >> 32, r["span"] & 0xFFFFFFFF
-                    out.append((r["key"], u, first, last, r["sides"], text[first : last + window]))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [*[pa.int64()] * 4, pa.int32(), pa.binary()], strict=True)], names=["key", "uid", "first", "last", "sides", "bytes"])
+                    out.append((r["key"], u, more, first, last, r["sides"], text[first : last + window]))
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "uid", "more", "first", "last", "sides", "bytes"])
 
     return run
 
@@ -185,33 +192,128 @@ def _round_three(window):
     def run(batches):
         for b in batches:
             rows: list[tuple] = []
-            for key, u, first, last, sides, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for run, key, first, last, sides, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 prefix, groups = _groups(part, first, last, sides, window)
                 if groups:
                     g, a, z, c0, c1 = np.array(groups, np.int64).T
                     m = np.full(len(g), 1, np.int64)
-                    rows.append((m * key, m * u, m * first, (a + first) << 32 | (z + first), g, common.span_hash(prefix, c0, c1), common.span_hash(prefix, a, z + window)))
-            yield _emit(rows, ["key", "uid", "first", "span", "grp", "core", "whole"])
+                    rows.append((m * key, m * run, (a + first) << 32 | (z + first), g, common.span_hash(prefix, c0, c1), common.span_hash(prefix, a, z + window)))
+            yield _emit(rows, ["key", "run", "span", "grp", "core", "whole"])
 
     return run
 
 
-def _round_four(window):
-    """Runs with the spans whose windows are named one by one: key, name, uid, at."""
+def offsets(window: int) -> list[int]:
+    """Offsets at which ranks are paired, from names of half SEED_BYTES up to the window: doubling, the last one what is missing."""
+    out, length = [], SEED_BYTES // 2
+    while length < window:
+        out.append(min(length, window - length))
+        length += out[-1]
+    return out
+
+
+def _first_pairs(window):
+    """(run, first, bytes, spans) to (run, at, a, b): the names at each position that the spans' windows need, and those at the first offset.
+
+    at: twice the place in the run, and one more where a window of the spans starts.
+    """
+    steps = offsets(window)
+    needed = np.zeros(1, np.int64)
+    for o in steps[:0:-1]:
+        needed = np.unique(np.concatenate([needed, needed + o]))
 
     def run(batches):
         for b in batches:
             rows: list[tuple] = []
-            for key, u, first, part, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                prefix = common.prefix_hash(np.frombuffer(part, np.uint8))
+            for run, first, part, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 starts = np.concatenate([np.arange(s >> 32, (s & 0xFFFFFFFF) + 1) for s in spans]) - first
-                m = np.full(len(starts), 1, np.int64)
-                rows.append((m * key, common.span_hash(prefix, starts, starts + window), m * u, starts + first))
-            yield _emit(rows, ["key", "name", "uid", "at"])
+                at = np.unique((starts[:, None] + needed).ravel())
+                name = _names(np.frombuffer(part, np.uint8), SEED_BYTES // 2)
+                rows.append((np.full(len(at), run, np.int64), 2 * at + np.isin(at, starts), name[at], name[at + steps[0]]))
+            yield _emit(rows, ["run", "at", "a", "b"])
 
     return run
 
 
+def _rerank(batches):
+    """Rows (run, at, a, b) sorted by the pair (a, b) to (run, at, rank): the place of the first row with the pair; unique pairs go.
+
+    Equal pairs are in one partition, so the partition and the place in it make the rank.
+    """
+    from pyspark import TaskContext
+
+    base = TaskContext.get().partitionId() << 40
+    seen, last, held = 0, None, None  # last: the pair that the rows before end in, and its rank, if it is known to be shared
+    for batch in batches:
+        run, at, a, b = (c.to_numpy() for c in batch.columns)
+        if held is not None:
+            run, at, a, b = (np.concatenate(([x], y)) for x, y in zip(held, (run, at, a, b), strict=True))
+            seen -= 1
+        if not len(run):
+            continue
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        first = np.flatnonzero(new)
+        size = np.diff(np.concatenate((first, [len(run)])))
+        rank, shared = base + seen + first, size > 1
+        if last is not None and last[:2] == (a[0], b[0]):
+            rank[0], shared[0] = last[2], True
+        # a last row that stands alone may go on in the next batch
+        held = None if shared[-1] else (run[-1], at[-1], a[-1], b[-1])
+        last = (a[-1], b[-1], rank[-1]) if shared[-1] else None
+        seen += len(run)
+        on = np.repeat(shared, size)
+        yield pa.RecordBatch.from_arrays([pa.array(run[on]), pa.array(at[on]), pa.array(np.repeat(rank, size)[on])], names=["run", "at", "rank"])
+
+
+def _pair_up(offset, last):
+    """Rows (run, at, rank) sorted by run and place to (run, at, a, b): each rank and the one at the offset, where there is one.
+
+    last: only where a window starts. Two runs may both have needed a place of one text, but a
+    window starts in one run alone, so ranks of windows are shared by different places.
+    """
+
+    def run(batches):
+        held = None
+        for batch in _and_end(batches):
+            if batch is None:
+                r, at, rank = held if held is not None else (np.zeros(0, np.int64),) * 3
+                held = None
+            else:
+                r, at, rank = (c.to_numpy() for c in batch.columns)
+                if held is not None:
+                    r, at, rank = (np.concatenate(x) for x in zip(held, (r, at, rank), strict=True))
+                end = int(np.searchsorted(r, r[-1])) if len(r) else 0  # the last run may go on
+                held = r[end:], at[end:], rank[end:]
+                r, at, rank = r[:end], at[:end], rank[:end]
+            place = np.cumsum(np.concatenate(([0], r[1:] != r[:-1]))[: len(r)]) * (1 << 32) + (at >> 1)
+            other = np.searchsorted(place, place + offset)
+            ok = np.flatnonzero((other < len(place)) & ((at & 1 > 0) | (not last)))
+            ok = ok[place[other[ok]] == place[ok] + offset]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r[ok], at[ok], rank[ok], rank[other[ok]])], names=["run", "at", "a", "b"])
+
+    return run
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
+
+
+def doubling(runs: DataFrame, window: int, scratch: common.Scratch) -> DataFrame:
+    """(run, at) of the windows that start again elsewhere among those of the runs' spans. runs: run, first, bytes, spans."""
+    n = common.partitions_of(runs.sparkSession)
+    pairs = runs.select("run", "first", "bytes", "spans").mapInArrow(_first_pairs(window), "run long, at long, a long, b long")
+    steps = offsets(window)
+    for k, o in enumerate(steps):
+        if k:
+            dealt = ranked.repartition("run").sortWithinPartitions("run", "at")  # noqa: F821  of the round before
+            pairs = dealt.mapInArrow(_pair_up(o, k == len(steps) - 1), "run long, at long, a long, b long")
+        pairs = scratch.keep(pairs)
+        ranked = scratch.keep(pairs.repartitionByRange(n, "a", "b").sortWithinPartitions("a", "b").mapInArrow(_rerank, "run long, at long, rank long"))
+        scratch.drop(pairs)
+    return ranked.select("run", F.shiftright("at", 1).alias("at"))
+
+
 def covered(spans: list[int], window: int) -> list[tuple[int, int]]:
     """Maximal [start, end) runs of bytes that the windows starting in the spans cover."""
     out: list[tuple[int, int]] = []
@@ -253,39 +355,43 @@ def _remove(window, with_text):
 def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes."""
     scratch = common.Scratch(docs.sparkSession)
-    # one name for a row: rows that agree in it agree in all that matters here
-    named = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
-    picks = named.select("uid", "text")
+    # names of a row: rows that agree in them agree in all that matters here
+    row = ["uid", "more"]
+    named = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), F.shiftright(F.xxhash64(F.lit(1), "text", "doc_id"), 32).cast("int").alias("more"), "text")
+    picks = named.select(*row, "text")
     again = picks.mapInArrow(_round_one(window, True), "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    all_runs = picks.mapInArrow(_round_one(window, False), "key long, uid long, span long, whole long, left long, right long")
-    alive = scratch.keep(all_runs.join(again, "key"))
+    all_runs = picks.mapInArrow(_round_one(window, False), "key long, uid long, more int, span long, whole long, left long, right long")
+    # a table of its own, so that a key's many rows can be split in the join
+    alive = scratch.keep(all_runs.join(scratch.keep(again), "key"))
 
-    distinct = alive.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(F.struct("uid", "span")).alias("one"), F.min("left").alias("left"), F.min("right").alias("right"))
-    distinct = scratch.keep(distinct.select("key", "whole", "n", "one.uid", "one.span", "left", "right"))
+    distinct = alive.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(F.struct(*row, "span")).alias("one"), F.min("left").alias("left"), F.min("right").alias("right"))
+    distinct = scratch.keep(distinct.select("key", "whole", "n", "one.*", "left", "right"))
 
     def shared(side):
         return distinct.filter(F.col(side) != 0).groupBy("key", side).agg(F.count("*").alias("m")).filter("m > 1").select("key", side, F.lit(True).alias(f"go_{side}"))
 
     todo = distinct.join(shared("left"), ["key", "left"], "left").join(shared("right"), ["key", "right"], "left")
     sides = F.when(F.col("go_left"), 1).otherwise(0) + F.when(F.col("go_right"), 2).otherwise(0)
-    todo = todo.select("uid", F.struct("key", "span", sides.alias("sides")).alias("r")).filter("r.sides > 0").groupBy("uid").agg(F.collect_list("r").alias("todo"))
-    cut = named.join(todo, "uid").select("uid", "text", "todo").mapInArrow(_cut_runs(window), "key long, uid long, first long, last long, sides int, bytes binary")
-    parts = scratch.keep(cut.dropDuplicates(["uid", "first"]))
-
-    groups = scratch.keep(parts.mapInArrow(_round_three(window), "key long, uid long, first long, span long, grp long, core long, whole long"))
-    kinds = groups.groupBy("key", "core", "grp", "whole").agg(F.count("*").alias("n"), F.min(F.struct("uid", "first", "span")).alias("one"))
-    kinds = scratch.keep(kinds.select("key", "core", "grp", "whole", "n", "one.uid", "one.first", "one.span"))
-    some = groups.join(kinds.filter("n > 1").select("key", "core", "grp", "whole"), ["key", "core", "grp", "whole"]).select("uid", "span")
+    todo = todo.select(*row, F.struct("key", "span", sides.alias("sides")).alias("r")).filter("r.sides > 0").groupBy(*row).agg(F.collect_list("r").alias("todo"))
+    cut = named.join(todo, row).select(*row, "text", "todo").mapInArrow(_cut_runs(window), "key long, uid long, more int, first long, last long, sides int, bytes binary")
+    parts = scratch.keep(cut.dropDuplicates([*row, "first"]).withColumn("run", F.monotonically_increasing_id()))
+
+    groups = parts.select("run", "key", "first", "last", "sides", "bytes").mapInArrow(_round_three(window), "key long, run long, span long, grp long, core long, whole long")
+    groups = scratch.keep(groups)
+    kinds = groups.groupBy("key", "core", "grp", "whole").agg(F.count("*").alias("n"), F.min(F.struct("run", "span")).alias("one"))
+    kinds = scratch.keep(kinds.select("key", "core", "grp", "whole", "n", "one.*"))
+    owner = parts.select("run", *row, "first")
+    some = groups.join(kinds.filter("n > 1").select("key", "core", "grp", "whole"), ["key", "core", "grp", "whole"]).select("run", "span")
     mixed = kinds.join(kinds.groupBy("key", "core", "grp").agg(F.count("*").alias("m")).filter("m > 1"), ["key", "core", "grp"])
-    mixed = mixed.groupBy("uid", "first").agg(F.collect_list("span").alias("spans"))
-    left = parts.select("key", "uid", "first", "bytes").join(mixed, ["uid", "first"]).select("key", "uid", "first", "bytes", "spans")
-    windows = scratch.keep(left.mapInArrow(_round_four(window), "key long, name long, uid long, at long"))
-    twice = windows.groupBy("key", "name").agg(F.count("*").alias("n")).filter("n > 1").select("key", "name")
-    single = windows.join(twice, ["key", "name"]).select("uid", F.col("at").bitwiseOR(F.shiftleft(F.col("at"), 32)).alias("span"))
-    whole = alive.join(distinct.filter("n > 1").select("key", "whole"), ["key", "whole"]).select("uid", "span")
-    spans = whole.unionByName(some).unionByName(single).groupBy("uid").agg(F.collect_set("span").alias("spans"))
+    left = scratch.keep(parts.select("run", "first", "bytes").join(mixed.groupBy("run").agg(F.collect_list("span").alias("spans")), "run"))
+    at = doubling(left, window, scratch).withColumnRenamed("at", "__at").join(owner, "run")
+    start = F.col("__at") + F.col("first")
+    single = at.select(*row, start.bitwiseOR(F.shiftleft(start, 32)).alias("span"))
+    some = some.join(owner, "run").select(*row, "span")
+    whole = alive.join(distinct.filter("n > 1").select("key", "whole"), ["key", "whole"]).select(*row, "span")
+    spans = whole.unionByName(some).unionByName(single).groupBy(*row).agg(F.collect_set("span").alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return named.join(spans, "uid", "left").select("doc_id", "uid", "text", "spans").mapInArrow(_remove(window, with_text), schema)
+    return named.join(spans, row, "left").select("doc_id", "text", "spans").mapInArrow(_remove(window, with_text), schema)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

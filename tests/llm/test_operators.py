@@ -484,6 +484,26 @@ def test_op9_against_brute_force(docs, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_op9_doubling(spark):
+    """Ranks alone, over every window of a few texts, against counts; in many partitions, and with a passage that most texts hold."""
+    from millrace.llm import common
+
+    rng = random.Random(13)
+    passage = "".join(rng.choice("ab") for _ in range(260))
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(150))) + (passage[rng.randrange(40) :] if i % 5 else "") + "".join(rng.choice("abc") for _ in range(rng.randrange(80))) for i in range(40)]
+    texts += ["x" * 700, "ab" * 300, texts[3], "y" * 199]
+    rows = [(i, 0, bytearray(t.encode()), [len(t) - 200]) for i, t in enumerate(texts) if len(t) >= 200]
+    seen = collections.Counter(t[p : p + 200] for t in texts for p in range(len(t) - 199))
+    want = sorted((i, p) for i, t in enumerate(texts) for p in range(len(t) - 199) if seen[t[p : p + 200]] > 1)
+    runs = spark.createDataFrame(rows, "run long, first long, bytes binary, spans array<long>").repartition(3)
+    assert suffix_dedup.offsets(200) == [32, 64, 72] and suffix_dedup.offsets(64) == [32]
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert sorted(tuple(r) for r in suffix_dedup.doubling(runs, 200, common.Scratch(spark)).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+
 def components(rows, num=75, den=100):
     sets = []
     for _, t in rows:
