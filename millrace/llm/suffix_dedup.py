@@ -69,28 +69,39 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - h)], x[width - h :]) if width > h else x
 
 
+def pack(first, last, anchor=None):
+    """A run of window starts in 64 bits: the first, how many follow, and how far its anchor is."""
+    return first << 32 | (last - first) << 16 | (0 if anchor is None else anchor - first)
+
+
+def unpack(span):
+    """First and last window start of a run, and its anchor."""
+    first = span >> 32
+    return first, first + (span >> 16 & 0xFFFF), first + (span & 0xFFFF)
+
+
 class Buffer:
     """Slices of texts laid end to end, so that short texts are named many at a time."""
 
     def __init__(self, window: int):
         self.window, self.parts, self.owner, self.at, self.size = window, [], [], [], 0
 
-    def add(self, owner: int, text: bytes):
+    def add(self, owner: int, text: bytes, keys_only: bool = False):
         """Append a text in slices of CHUNK window starts; yields what a full buffer holds."""
         for at in range(0, len(text) - self.window + 1, CHUNK):
             part = text[at : at + CHUNK + self.window - 1]
             if self.size and self.size + len(part) > 2 * CHUNK - 64:
-                yield self.empty()
+                yield self.empty(keys_only)
             self.parts.append(part)
             self.owner.append(owner)
             self.at.append(at)
             self.size += len(part)
 
-    def empty(self):
-        """owner, first, last, key, whole, left, right: the runs of window starts that share an anchor.
+    def empty(self, keys_only: bool = False):
+        """owner, span, key, whole, left, right: the runs of window starts that share an anchor; or their keys alone.
 
-        first and last are positions in the owner's text; left and right are 0 where the
-        run has no window on that side.
+        Spans are of positions in the owner's text; left and right are 0 where the run has
+        no window on that side.
         """
         window, half = self.window, _half(self.window)
         data = np.frombuffer(b"".join(self.parts), np.uint8)
@@ -104,16 +115,18 @@ class Buffer:
         cuts = np.flatnonzero(np.diff(anchor)) + 1
         first, last = start[np.concatenate(([0], cuts))], start[np.concatenate((cuts, [len(start)])) - 1]
         a = anchor[np.concatenate(([0], cuts))]
+        owner, at = self.owner, self.at
+        self.parts, self.owner, self.at, self.size = [], [], [], 0
+        if keys_only:
+            return (name[a],)
         prefix = common.prefix_hash(data)
         whole = common.span_hash(prefix, first, last + window)
         is_left, is_right = first <= a - half, last > a - half
         left = np.where(is_left, common.span_hash(prefix, np.where(is_left, a - half, 0), a + SEED_BYTES), 0)
         right = np.where(is_right, common.span_hash(prefix, a, np.where(is_right, a + window - half, a)), 0)
         part = np.searchsorted(begin, first, side="right") - 1
-        shift = (np.array(self.at) - begin)[part]
-        out = np.array(self.owner)[part], first + shift, last + shift, name[a], whole, left, right
-        self.parts, self.owner, self.at, self.size = [], [], [], 0
-        return out
+        shift = (np.array(at) - begin)[part]
+        return np.array(owner)[part], pack(first + shift, last + shift, a + shift), name[a], whole, left, right
 
 
 def _half(window: int) -> int:
@@ -143,61 +156,68 @@ def _round_one(window, keys_only):
             uid, more = b.column(0).to_numpy(), b.column(1).to_numpy()
             buffer, rows = Buffer(window), []
 
-            def take(owner, first, last, key, *rest):
-                rows.append((key,) if keys_only else (key, uid[owner], more[owner], first << 32 | last, *rest))
+            def take(found):
+                if keys_only:
+                    rows.append(found)
+                else:
+                    owner, span, key, *rest = found
+                    rows.append((key, uid[owner], more[owner], span, *rest))
 
             for k, text in enumerate(common.texts(b)):
-                for full in buffer.add(k, text):
-                    take(*full)
+                for full in buffer.add(k, text, keys_only):
+                    take(full)
             if buffer.size:
-                take(*buffer.empty())
+                take(buffer.empty(keys_only))
             yield _emit(rows, names)
 
     return run
 
 
 def _cut_runs(window):
-    """(uid, more, text, todo) to the runs that go on, with their bytes: key, uid, more, first, last, sides, bytes."""
+    """(uid, more, text, todo) to the runs that go on, with their bytes: key, uid, more, span, sides, bytes."""
 
     def run(batches):
         for b in batches:
             out: list[tuple] = []
             for u, more, text, todo in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), common.texts(b), b.column(3).to_pylist(), strict=True):
                 for r in todo:
-                    first, last = r["span"] >> 32, r["span"] & 0xFFFFFFFF
-                    out.append((r["key"], u, more, first, last, r["sides"], text[first : last + window]))
-            cols = list(zip(*out, strict=True)) or [[]] * 7
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "uid", "more", "first", "last", "sides", "bytes"])
+                    first, last, _ = unpack(r["span"])
+                    out.append((r["key"], u, more, r["span"], r["sides"], text[first : last + window]))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "uid", "more", "span", "sides", "bytes"])
 
     return run
 
 
-def _groups(part: bytes, first: int, last: int, sides: int, window: int):
-    """Prefix hash of a run's bytes, and for each group of offsets with windows in the run: group, window starts from and to, core start and end."""
-    data = np.frombuffer(part, np.uint8)
-    anchor = int(_anchors(_names(data[: window], SEED_BYTES), window)[0])
-    half, n = _half(window), last - first + 1
-    out = []
-    for g in range((anchor - (n - 1)) // OFFSETS, anchor // OFFSETS + 1):
-        # offsets g * OFFSETS to one less than the next group's, those at most that the run has
-        low, high = max(g * OFFSETS, anchor - (n - 1)), min((g + 1) * OFFSETS - 1, anchor)
-        side = 1 if g * OFFSETS >= half else 2
-        if low <= high and sides & side:
-            out.append((g, anchor - high, anchor - low, anchor - g * OFFSETS, anchor - (g + 1) * OFFSETS + 1 + window))
-    return common.prefix_hash(data), out
+def _laid(b: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column end to end, and where each row's begin."""
+    parts = b.column(at).to_pylist()
+    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in parts])[:-1])).astype(np.int64)
 
 
 def _round_three(window):
+    """(run, key, span, sides, bytes) to the groups of neighbouring offsets that have windows in each run, with their core and whole."""
+
     def run(batches):
         for b in batches:
-            rows: list[tuple] = []
-            for run, key, first, last, sides, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                prefix, groups = _groups(part, first, last, sides, window)
-                if groups:
-                    g, a, z, c0, c1 = np.array(groups, np.int64).T
-                    m = np.full(len(g), 1, np.int64)
-                    rows.append((m * key, m * run, (a + first) << 32 | (z + first), g, common.span_hash(prefix, c0, c1), common.span_hash(prefix, a, z + window)))
+            if not b.num_rows:
+                continue
+            run, key, span, sides = (b.column(i).to_numpy() for i in range(4))
+            first, last, anchor = unpack(span)
+            data, begin = _laid(b, 4)
+            prefix, rows = common.prefix_hash(data), []
+            own, n = anchor - first, last - first + 1
+            for g in range((window - SEED_BYTES) // OFFSETS + 1):
+                # offsets g * OFFSETS to one less than the next group's, those at most that the run has
+                low, high = np.maximum(g * OFFSETS, own - (n - 1)), np.minimum((g + 1) * OFFSETS - 1, own)
+                k = np.flatnonzero((low <= high) & (sides & (1 if g * OFFSETS >= _half(window) else 2) > 0))
+                if not len(k):
+                    continue
+                a, z, at = (own - high)[k], (own - low)[k], begin[k]
+                c0, c1 = (own - g * OFFSETS)[k], (own - (g + 1) * OFFSETS + 1 + window)[k]
+                core, whole = common.span_hash(prefix, at + c0, at + c1), common.span_hash(prefix, at + a, at + z + window)
+                rows.append((key[k], run[k], pack(first[k] + a, first[k] + z), np.full(len(k), g), core, whole))
             yield _emit(rows, ["key", "run", "span", "grp", "core", "whole"])
 
     return run
@@ -224,13 +244,19 @@ def _first_pairs(window):
 
     def run(batches):
         for b in batches:
-            rows: list[tuple] = []
-            for run, first, part, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                starts = np.concatenate([np.arange(s >> 32, (s & 0xFFFFFFFF) + 1) for s in spans]) - first
-                at = np.unique((starts[:, None] + needed).ravel())
-                name = _names(np.frombuffer(part, np.uint8), SEED_BYTES // 2)
-                rows.append((np.full(len(at), run, np.int64), 2 * at + np.isin(at, starts), name[at], name[at + steps[0]]))
-            yield _emit(rows, ["run", "at", "a", "b"])
+            if not b.num_rows:
+                continue
+            run, first, spans = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3)
+            data, begin = _laid(b, 2)
+            name = _names(data, SEED_BYTES // 2)
+            # window starts as places in the bytes laid end to end, which tell rows apart too
+            row = np.repeat(np.arange(len(run)), np.asarray(spans.value_lengths()))
+            a, z, _ = unpack(spans.flatten().to_numpy())
+            many = z - a + 1
+            starts = np.repeat(a - first[row] + begin[row] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+            at = np.unique((starts[:, None] + needed).ravel())
+            of = np.searchsorted(begin, at, side="right") - 1
+            yield _emit([(run[of], 2 * (at - begin[of]) + np.isin(at, starts), name[at], name[at + steps[0]])], ["run", "at", "a", "b"])
 
     return run
 
@@ -318,7 +344,8 @@ def covered(spans: list[int], window: int) -> list[tuple[int, int]]:
     """Maximal [start, end) runs of bytes that the windows starting in the spans cover."""
     out: list[tuple[int, int]] = []
     for s in sorted(spans):
-        start, end = s >> 32, (s & 0xFFFFFFFF) + window
+        first, last, _ = unpack(s)
+        start, end = first, last + window
         if out and start <= out[-1][1]:
             out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
@@ -373,10 +400,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     todo = distinct.join(shared("left"), ["key", "left"], "left").join(shared("right"), ["key", "right"], "left")
     sides = F.when(F.col("go_left"), 1).otherwise(0) + F.when(F.col("go_right"), 2).otherwise(0)
     todo = todo.select(*row, F.struct("key", "span", sides.alias("sides")).alias("r")).filter("r.sides > 0").groupBy(*row).agg(F.collect_list("r").alias("todo"))
-    cut = named.join(todo, row).select(*row, "text", "todo").mapInArrow(_cut_runs(window), "key long, uid long, more int, first long, last long, sides int, bytes binary")
-    parts = scratch.keep(cut.dropDuplicates([*row, "first"]).withColumn("run", F.monotonically_increasing_id()))
+    cut = named.join(todo, row).select(*row, "text", "todo").mapInArrow(_cut_runs(window), "key long, uid long, more int, span long, sides int, bytes binary")
+    parts = scratch.keep(cut.dropDuplicates([*row, "span"]).withColumn("first", F.shiftright("span", 32)).withColumn("run", F.monotonically_increasing_id()))
 
-    groups = parts.select("run", "key", "first", "last", "sides", "bytes").mapInArrow(_round_three(window), "key long, run long, span long, grp long, core long, whole long")
+    groups = parts.select("run", "key", "span", "sides", "bytes").mapInArrow(_round_three(window), "key long, run long, span long, grp long, core long, whole long")
     groups = scratch.keep(groups)
     kinds = groups.groupBy("key", "core", "grp", "whole").agg(F.count("*").alias("n"), F.min(F.struct("run", "span")).alias("one"))
     kinds = scratch.keep(kinds.select("key", "core", "grp", "whole", "n", "one.*"))
@@ -386,7 +413,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     left = scratch.keep(parts.select("run", "first", "bytes").join(mixed.groupBy("run").agg(F.collect_list("span").alias("spans")), "run"))
     at = doubling(left, window, scratch).withColumnRenamed("at", "__at").join(owner, "run")
     start = F.col("__at") + F.col("first")
-    single = at.select(*row, start.bitwiseOR(F.shiftleft(start, 32)).alias("span"))
+    single = at.select(*row, F.shiftleft(start, 32).alias("span"))
     some = some.join(owner, "run").select(*row, "span")
     whole = alive.join(distinct.filter("n > 1").select("key", "whole"), ["key", "whole"]).select(*row, "span")
     spans = whole.unionByName(some).unionByName(single).groupBy(*row).agg(F.collect_set("span").alias("spans"))

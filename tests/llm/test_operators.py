@@ -492,7 +492,7 @@ def test_op9_doubling(spark):
     passage = "".join(rng.choice("ab") for _ in range(260))
     texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(150))) + (passage[rng.randrange(40) :] if i % 5 else "") + "".join(rng.choice("abc") for _ in range(rng.randrange(80))) for i in range(40)]
     texts += ["x" * 700, "ab" * 300, texts[3], "y" * 199]
-    rows = [(i, 0, bytearray(t.encode()), [len(t) - 200]) for i, t in enumerate(texts) if len(t) >= 200]
+    rows = [(i, 0, bytearray(t.encode()), [suffix_dedup.pack(0, len(t) - 200)]) for i, t in enumerate(texts) if len(t) >= 200]
     seen = collections.Counter(t[p : p + 200] for t in texts for p in range(len(t) - 199))
     want = sorted((i, p) for i, t in enumerate(texts) for p in range(len(t) - 199) if seen[t[p : p + 200]] > 1)
     runs = spark.createDataFrame(rows, "run long, first long, bytes binary, spans array<long>").repartition(3)
