@@ -49,8 +49,8 @@ LEADERS = 8
 CANDIDATE, RESEMBLES, CLOSE = 78, 90, 101
 #: A large node of more strays branches, so often at most where one component dominates it and elsewhere; then its strays are compared however many.
 STRAYS, DOMINATED, MIXED = 512, 3, 12
-#: Bins of the finer sketch, a byte each, and the share of equal ones, of those that either has, that makes a candidate.
-BINS, FINE = 512, 0.67
+#: Bins of the finer sketch, a byte each, and by how many standard deviations a pair may fall short of the least similarity.
+BINS, DEVIATIONS = 512, 4
 #: Classes of a large node in one row (64 KB of signatures), and such rows in an Arrow batch.
 BLOCK, BLOCKS_A_BATCH = 128, 256
 #: Classes whose links a task remembers, so as not to tell one twice; then it forgets them.
@@ -58,6 +58,18 @@ REMEMBERED = 200_000
 #: Ids that may be broadcast to pick texts; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
+def _fine_bounds() -> np.ndarray:
+    """By the number of bins that either of two sets has: the share of equal ones that makes a candidate.
+
+    Equal bins are a sample of the union without replacement; the filled bins tell its size.
+    """
+    n = np.arange(1, BINS + 1)
+    union = -BINS * np.log(1 - np.minimum(n, BINS - 0.5) / BINS)
+    least = NUM / DEN
+    return np.concatenate(([0.0], least - DEVIATIONS * np.sqrt(least * (1 - least) / n * np.maximum(0.0, 1 - n / union))))
+
+
+_FINE = _fine_bounds()
 _SEEDS = common.mix(np.arange(1, POSITIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _ADDED = common.mix(np.arange(POSITIONS + 1, 2 * POSITIONS + 1, dtype=np.uint64))
 
@@ -205,7 +217,7 @@ def _compare(spanning: bool):
 
     spanning: only what joins classes that the task has not joined yet, most alike first,
     and the nodes that have other candidate pairs as well.
-    Otherwise every candidate pair whose roots differ.
+    Otherwise every candidate pair whose roots differ, by the finer sketch, which then is sig.
     """
 
     def run(batches):
@@ -220,7 +232,7 @@ def _compare(spanning: bool):
 
         def judge(tab):
             node = tab.column("node").to_numpy()
-            cls, root, sig = tab.column("cls").to_pylist(), tab.column("root").to_pylist(), _signatures(tab.column("sig"))
+            cls, root, sig = tab.column("cls").to_pylist(), tab.column("root").to_pylist(), np.frombuffer(b"".join(tab.column("sig").to_pylist()), np.uint32 if spanning else np.uint8).reshape(tab.num_rows, -1)
             cuts = np.flatnonzero(np.diff(node)) + 1
             start, size = np.concatenate(([0], cuts)), np.diff(np.concatenate(([0], cuts, [len(node)])))
             got = []
@@ -234,7 +246,7 @@ def _compare(spanning: bool):
                     for p in range(0, len(i), PAIRS):
                         x, y = at[i[p : p + PAIRS]], at[j[p : p + PAIRS]]
                         same = (sig[x] == sig[y]).sum(axis=1)
-                        ok = same >= CANDIDATE
+                        ok = same >= CANDIDATE if spanning else _alike(sig[x], sig[y])
                         got.append((same[ok], x[ok], y[ok]))
             if not got:
                 return
@@ -286,6 +298,13 @@ def _branch(batches):
             yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64).ravel()), b.column(1).take(pa.array(np.repeat(np.arange(len(nodes)), 2)))], names=["node", "cls"])
 
 
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sketches in rows are near enough for a candidate."""
+    some = (x | y) > 0
+    n = some.sum(axis=1)
+    return ((x == y) & some).sum(axis=1) >= _FINE[n] * n
+
+
 def _against(batches):
     """(names, sketches, roots; other names, sketches, roots) of one node to the candidate pairs (a, b) between different roots."""
     for b in batches:
@@ -293,8 +312,7 @@ def _against(batches):
         for names, fine, roots, others, ofine, oroots in zip(*(c.to_pylist() for c in b.columns), strict=True):
             x, y = (np.frombuffer(b"".join(f), np.uint8).reshape(-1, BINS) for f in (fine, ofine))
             for j, one in enumerate(y):
-                some = (x | one) > 0
-                ok = ((x == one) & some).sum(axis=1) >= FINE * some.sum(axis=1)
+                ok = _alike(x, one)
                 found.update((min(names[i], others[j]), max(names[i], others[j])) for i in np.flatnonzero(ok) if roots[i] != oroots[j])
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
 
@@ -383,7 +401,8 @@ def classes_and_links(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
         return reduce(DataFrame.unionByName, of)
 
     def compared(nodes, roots):
-        met = nodes.join(sigs.select("cls", "sig"), "cls")
+        found = sigs.select("cls", "sig") if roots is None else sketched(nodes.select("cls").distinct()).withColumnRenamed("fine", "sig")
+        met = nodes.join(found, "cls")
         met = met.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left") if roots is not None else met.withColumn("root", F.lit(None).cast("binary"))
         met = met.withColumn("root", F.coalesce("root", "cls")).repartition("node").sortWithinPartitions("node").select("node", "cls", "sig", "root")
         return met.mapInArrow(_compare(roots is None), "a binary, b binary, node long")
