@@ -94,6 +94,10 @@ class Scratch:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
+    def clear(self) -> None:
+        """Delete all tables of keep(), where no later plan reads any."""
+        self._delete(self.root)
+
     def _clear(self) -> None:
         with contextlib.suppress(Exception):  # the session has ended
             self._delete(self.root)

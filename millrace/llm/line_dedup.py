@@ -376,6 +376,13 @@ def _scoped(scope: int, key: np.ndarray) -> np.ndarray:
 
 def late_lines(docs: DataFrame, firsts: DataFrame, bands: Bands, scratch: common.Scratch, crowd: int = CROWD) -> DataFrame:
     """(c1, c2), the names of lines that are near an earlier one. firsts: c1, c2 and first, the place of each line."""
+    inner = common.Scratch(docs.sparkSession)
+    out = scratch.keep(_late_lines(docs, firsts, bands, inner, crowd))
+    inner.clear()
+    return out
+
+
+def _late_lines(docs, firsts, bands, scratch, crowd):
     spark = docs.sparkSession
     met = docs.select("text").mapInArrow(_keys_of_lines(bands), _schema(_KEYED)).repartition("key").sortWithinPartitions("key")
     met = scratch.keep(met.mapInArrow(_meet(crowd), _schema(_MET)))

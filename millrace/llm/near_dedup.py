@@ -366,7 +366,13 @@ def _confirm(num, den):
 def classes_and_links(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, trees: int = TREES, small_node: int = SMALL):
     """(described, links, roots, scratch): the documents with their class, the confirmed links
     between classes, and (node, root) of every class that has one."""
-    scratch = common.Scratch(docs.sparkSession)
+    inner, scratch = common.Scratch(docs.sparkSession), common.Scratch(docs.sparkSession)
+    described, links, roots = (scratch.keep(x) for x in _classes_and_links(docs, words, num, den, trees, small_node, inner))
+    inner.clear()
+    return described, links, roots, scratch
+
+
+def _classes_and_links(docs, words, num, den, trees, small_node, scratch):
     signed = scratch.keep(docs.select("doc_id", "text").mapInArrow(_describe(words), "doc_id long, n_shingles long, cls binary, sig binary"))
     # Equal sets have equal signatures: any row's will do.
     sigs = scratch.keep(signed.filter("cls is not null").groupBy("cls").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("of")))
@@ -439,7 +445,7 @@ def classes_and_links(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     if not second.isEmpty():
         links = links.unionByName(confirmed(second))
         roots = graph.components(links, scratch)
-    return described, links, roots, scratch
+    return described, links, roots
 
 
 def _own_sets(words, of):
