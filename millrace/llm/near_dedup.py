@@ -291,11 +291,12 @@ def _compare(spanning: bool):
 
 
 def _branch(batches):
-    """(node, cls, sig) to the child nodes (node, cls)."""
+    """(node, cls, root, sig) to the child nodes (node, cls, root)."""
     for b in batches:
         if b.num_rows:
-            nodes = _children(b.column(0).to_numpy().view(np.uint64), _signatures(b.column(2)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64).ravel()), b.column(1).take(pa.array(np.repeat(np.arange(len(nodes)), 2)))], names=["node", "cls"])
+            nodes = _children(b.column(0).to_numpy().view(np.uint64), _signatures(b.column(3)))
+            twice = pa.array(np.repeat(np.arange(len(nodes)), 2))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64).ravel()), b.column(1).take(twice), b.column(2).take(twice)], names=["node", "cls", "root"])
 
 
 def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -321,28 +322,30 @@ def _unsettled(rows: DataFrame, sigs: DataFrame, roots: DataFrame, scratch: comm
     """The classes of large nodes (node, cls) that may have links between components:
     candidate pairs (a, b), and the small nodes (node, cls) to compare exhaustively."""
     of = roots.select(F.col("node").alias("cls"), "root")
-    pairs, nodes, depth, sketches = [], [], 0, None
+    rows = rows.join(of, "cls", "left").select("node", "cls", F.coalesce("root", "cls").alias("root"))
+    met, nodes, depth = [], [], 0
     while True:
-        rooted = scratch.keep(rows.join(of, "cls", "left").select("node", "cls", F.coalesce("root", "cls").alias("root")))
-        by = rooted.groupBy("node", "root").agg(F.count("*").alias("n"))
+        rows = scratch.keep(rows)
+        by = rows.groupBy("node", "root").agg(F.count("*").alias("n"))
         mixed = by.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("main"))
         mixed = mixed.select("node", "size", (F.col("size") - F.col("main.n")).alias("strays"), F.col("main.root").alias("main")).filter("strays > 0")
-        live = scratch.keep(rooted.join(scratch.keep(mixed), "node").withColumn("on", F.expr(f"strays > {STRAYS} and {depth} < if(2 * strays > size, {MIXED}, {DOMINATED})")))
+        live = scratch.keep(rows.join(scratch.keep(mixed), "node").withColumn("on", F.expr(f"strays > {STRAYS} and {depth} < if(2 * strays > size, {MIXED}, {DOMINATED})")))
         nodes.append(live.filter(F.col("size") <= small).select("node", "cls"))
         big = live.filter(F.col("size") > small)
         if big.isEmpty():
-            return pairs, nodes
-        if sketches is None:
-            sketches = sketched(big.select("cls").distinct())  # later nodes hold no others
-        met = big.filter("not on")
-        if not met.isEmpty():
-            met = met.join(sketches, "cls")
-            every = scratch.keep(_in_blocks(met, "size", names="cls", fine="fine", roots="root").drop("block"))
-            strays = scratch.keep(_in_blocks(met.filter("root != main"), "strays", onames="cls", ofine="fine", oroots="root").drop("block"))
-            both = every.join(strays, "node").drop("node")
-            pairs.append(scratch.keep(both.mapInArrow(_against, "a binary, b binary").distinct(), rows_a_batch=BLOCKS_A_BATCH))
+            break
+        met.append(big.filter("not on"))
         depth += 1
-        rows = big.filter("on").join(sigs.select("cls", "sig"), "cls").select("node", "cls", "sig").mapInArrow(_branch, "node long, cls binary")
+        rows = big.filter("on").join(sigs.select("cls", "sig"), "cls").select("node", "cls", "root", "sig").mapInArrow(_branch, "node long, cls binary, root binary")
+    if not met:
+        return [], nodes
+    # the strays of all levels meet their nodes at once
+    met = reduce(DataFrame.unionByName, met)
+    met = met.join(sketched(met.select("cls").distinct()), "cls")
+    every = scratch.keep(_in_blocks(met, "size", names="cls", fine="fine", roots="root").drop("block"))
+    strays = scratch.keep(_in_blocks(met.filter("root != main"), "strays", onames="cls", ofine="fine", oroots="root").drop("block"))
+    both = every.join(strays, "node").drop("node")
+    return [scratch.keep(both.mapInArrow(_against, "a binary, b binary").distinct(), rows_a_batch=BLOCKS_A_BATCH)], nodes
 
 
 def _confirm(num, den):
@@ -443,8 +446,9 @@ def _classes_and_links(docs, words, num, den, trees, small_node, scratch):
     second = union([compared(union([rooted.join(scratch.keep(mixed), "node").select("node", "cls"), *nodes]), roots).select("a", "b"), *pairs]).distinct()
     second = scratch.keep(second.join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
-        links = links.unionByName(confirmed(second))
-        roots = graph.components(links, scratch)
+        more = confirmed(second)
+        links = links.unionByName(more)
+        roots = graph.components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch)
     return described, links, roots
 
 
