@@ -331,27 +331,36 @@ def _verify(bands):
 
 #: A line, or what is left of it, under a key of its own: which part of it the key stands for (size -1: all that is left), and for what it was split.
 _ROW = {"key": "long", "sides": "byte", "c1": "long", "c2": "long", "rest": "binary", "at": "int", "size": "int", "edits": "int", "delta": "int"}
+#: What a row of _ROW carries along: its whole line and the place of that.
+_ALONG = {"line": "binary", "first": "struct<doc_id:bigint,u1:bigint,u2:bigint,line:int>"}
+
+
+def _with_lines(out: list[tuple], of: list[int], b: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of _ROW with the last two columns of the batch's rows that they are of."""
+    of = pa.array(of, pa.int64())
+    return pa.RecordBatch.from_arrays([*_batch(out, _ROW).columns, *(c.take(of) for c in b.columns[-2:])], names=[*_ROW, *_ALONG])
 
 
 def _open(bands):
-    """(key, sides, c1, c2, line) to _ROW: what a crowded key stands for in its line, once for each place."""
+    """(key, sides, c1, c2, line, first) to _ROW and _ALONG: what a crowded key stands for in its line, once for each place."""
 
     def run(batches):
         for b in batches:
-            out = []
-            for key, sides, c1, c2, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out, of = [], []
+            for n, (key, sides, c1, c2, line) in enumerate(zip(*(c.to_pylist() for c in b.columns[:5]), strict=True)):
                 _, k, z, at, size, edits, delta = whole_keys([line], bands)
                 out += [(key, int(z[i]) & sides, c1, c2, line, int(at[i]), int(size[i]), int(edits[i]), int(delta[i])) for i in np.flatnonzero(k == key) if int(z[i]) & sides]
-            yield _batch(out, _ROW)
+                of += [n] * (len(out) - len(of))
+            yield _with_lines(out, of, b)
 
     return run
 
 
 def _cut_out(batches):
-    """_ROW to _ROW under the keys of what is left when the matched part is cut out, each only equal under an equal key before."""
+    """_ROW and _ALONG to the same under the keys of what is left when the matched part is cut out, each only equal under an equal key before."""
     for b in batches:
-        out = []
-        for key, sides, c1, c2, rest, at, size, edits, delta in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        out, of = [], []
+        for n, (key, sides, c1, c2, rest, at, size, edits, delta) in enumerate(zip(*(c.to_pylist() for c in b.columns[:-2]), strict=True)):
             s = rest.decode(errors="replace")
             s = s[:at] + s[at + size :]
             left = s.encode(errors="replace")
@@ -365,8 +374,9 @@ def _cut_out(batches):
                     continue
                 prefix, start, length = _points([left])
                 _, k, z, at_, size_ = keys(prefix, start, length, np.array([edits]), np.array([d]), side)
-                out += [(int(x), int(y), c1, c2, left, int(a), int(n), edits, d) for x, y, a, n in zip(_scoped(key, k), z, at_, size_, strict=True)]
-        yield _batch(out, _ROW)
+                out += [(int(x), int(y), c1, c2, left, int(a), int(m), edits, d) for x, y, a, m in zip(_scoped(key, k), z, at_, size_, strict=True)]
+            of += [n] * (len(out) - len(of))
+        yield _with_lines(out, of, b)
 
 
 def _scoped(scope: int, key: np.ndarray) -> np.ndarray:
@@ -401,18 +411,18 @@ def _late_lines(docs, firsts, bands, scratch, crowd):
     known = scratch.keep(known.join(firsts, ["c1", "c2"]))
 
     def judged(ask: DataFrame) -> DataFrame:
-        """Of rows (c1, c2, first, line; f1, f2, other_first, other): the names of the later lines of near pairs."""
+        """Of rows (c1, c2, first, line; f1, f2, other_first, other): the names of the later lines of near pairs, one a pair."""
         later = F.col("first") > F.col("other_first")
         ask = ask.select(F.when(later, F.col("c1")).otherwise(F.col("f1")).alias("c1"), F.when(later, F.col("c2")).otherwise(F.col("f2")).alias("c2"), F.col("line").alias("x"), F.col("other").alias("y"))
-        return scratch.keep(ask.mapInArrow(_verify(bands), "c1 long, c2 long").distinct())
+        return scratch.keep(ask.mapInArrow(_verify(bands), "c1 long, c2 long"))
 
     other = known.select(F.col("c1").alias("f1"), F.col("c2").alias("f2"), F.col("first").alias("other_first"), F.col("line").alias("other"))
     late = judged(pairs.withColumnRenamed("other", "f1").join(known, "c1").join(other, "f1"))
     if large.isEmpty():
-        return late
-    rows = large.join(known, "c1").select("key", "sides", "c1", "c2", "line").mapInArrow(_open(bands), _schema(_ROW))
+        return late.distinct()
+    rows = large.join(known, "c1").select("key", "sides", "c1", "c2", "line", "first").mapInArrow(_open(bands), _schema(_ROW | _ALONG))
     while True:
-        full = scratch.keep(rows.distinct().join(known, ["c1", "c2"]))
+        full = scratch.keep(rows.distinct())
         # the earliest line of each key settles what is near it
         head = F.min(F.struct("first", "c1", "c2", "line")).alias("h")
         heads = scratch.keep(full.groupBy("key").agg(head).select("key", F.col("h.c1").alias("f1"), F.col("h.c2").alias("f2"), F.col("h.first").alias("other_first"), F.col("h.line").alias("other")))
@@ -431,7 +441,7 @@ def _late_lines(docs, firsts, bands, scratch, crowd):
         hot = sizes.filter("go = 2").select("key")
         if hot.isEmpty():
             return late
-        rows = full.join(hot, "key").select(*_ROW).mapInArrow(_cut_out, _schema(_ROW))
+        rows = full.join(hot, "key").select(*_ROW, *_ALONG).mapInArrow(_cut_out, _schema(_ROW | _ALONG))
 
 
 def _rewrite(batches):
