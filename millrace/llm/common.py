@@ -23,9 +23,14 @@ from pyspark.sql import functions as F
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
+#: Most bytes of the Arrow batches that Python steps are given, so that rows may be large and a task holds few of them.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package to the executors once a session, so that they need no shared code folder."""
+    """Send the package to the executors once a session, so that they need no shared code folder, and bound the session's Arrow batches."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if getattr(sc, "_millrace_shipped", False):
         return spark
     top = Path(__file__).resolve().parents[1]

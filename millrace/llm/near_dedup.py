@@ -52,7 +52,7 @@ STRAYS, DOMINATED, MIXED = 512, 3, 12
 #: Bins of the finer sketch, a byte each, and by how many standard deviations a pair may fall short of the least similarity.
 BINS, DEVIATIONS = 512, 4
 #: Classes of a large node in one row (64 KB of signatures), and such rows in an Arrow batch.
-BLOCK, BLOCKS_A_BATCH = 128, 256
+BLOCK, BLOCKS_A_BATCH = 128, 32
 #: Classes whose links a task remembers, so as not to tell one twice; then it forgets them.
 REMEMBERED = 200_000
 #: Ids that may be broadcast to pick texts; beyond it the texts are joined by a shuffle.
