@@ -14,7 +14,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from millrace.llm import exact_topk, language, line_dedup, mixing, near_dedup, packing, quality_rules, resampling, suffix_dedup, toxicity
+from millrace.llm import common, exact_topk, language, line_dedup, mixing, near_dedup, packing, quality_rules, resampling, suffix_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, n_words string, key string, cls string, size string, running string, score string, uid string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -568,3 +568,17 @@ def test_op10_pairs_away_from_the_original(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in records(near_dedup.near_duplicates(df, small_node=32)))
     assert got == sorted(components(rows))
+
+
+@pytest.mark.parametrize("remembered", [3, 10**6])
+@pytest.mark.parametrize("edges", [[], [(i, i + 1) for i in range(120)], [(0, i) for i in range(90)] + [(i, i + 200) for i in range(0, 90, 3)], [(i * 37 % 150, i * 91 % 149) for i in range(130)]])
+def test_components(spark, edges, remembered):
+    from millrace.llm import graph
+
+    common.ship(spark)
+    least = {x: x for e in edges for x in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    got = graph.components(spark.createDataFrame(edges, "a long, b long").repartition(5), common.Scratch(spark), remembered).collect()
+    assert sorted(map(tuple, got)) == sorted((x, m) for x, m in least.items() if any(a != b and x in (a, b) for a, b in edges))
