@@ -66,11 +66,14 @@ class Scratch:
         self.count = 0
         atexit.register(self._clear)
 
-    def keep(self, df: DataFrame, codec: str = "zstd", rows_a_batch: int | None = None) -> DataFrame:
+    def keep(self, df: DataFrame, codec: str = "zstd", rows_a_batch: int | None = None, tasks: int | None = None) -> DataFrame:
         """Write df and return a DataFrame that reads what was written; the write's shuffle files go with it.
 
         rows_a_batch: of the Arrow batches of its Python steps, where rows are large.
+        tasks: that run df's last stage and write a file each, at most, where that stage only ends an aggregate.
         """
+        if tasks:
+            df = df.coalesce(tasks)
         self.count += 1
         path = f"{self.root}/{self.count}"
         conf = self.spark.conf
@@ -264,3 +267,11 @@ def running_totals(df: DataFrame, order: list[Column], key: str | None, value: s
 
 def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def writers(spark: SparkSession) -> int:
+    """Tasks enough to write an aggregate: a quarter of the shuffle's partitions, but no fewer than there are cores.
+
+    On a file system of Hadoop's without its native library a task starts three processes for each file it writes.
+    """
+    return max(spark.sparkContext.defaultParallelism, -(-partitions_of(spark) // 4))

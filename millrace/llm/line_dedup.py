@@ -394,17 +394,19 @@ def late_lines(docs: DataFrame, firsts: DataFrame, bands: Bands, scratch: common
 
 def _late_lines(docs, firsts, bands, scratch, crowd):
     spark = docs.sparkSession
+    few = common.writers(spark)
     met = docs.select("text").mapInArrow(_keys_of_lines(bands), _schema(_KEYED)).repartition("key").sortWithinPartitions("key")
-    met = scratch.keep(met.mapInArrow(_meet(crowd), _schema(_MET)))
+    # of all keys few meet, so what is left of them is dealt evenly to fewer tasks
+    met = scratch.keep(met.mapInArrow(_meet(crowd), _schema(_MET)).repartition(few))
     # most candidates are pairs under a key that holds two lines; all are verified below
-    pairs = scratch.keep(met.filter("kind = 0").select("c1", "other").distinct())
+    pairs = scratch.keep(met.filter("kind = 0").select("c1", "other").distinct(), tasks=few)
     large = met.filter("kind = 1").select("key", "sides", "c1").distinct()
     # a key that only has segments, or only probes, joins nothing
     open_ = large.groupBy("key").agg(F.bit_or("sides").alias("all")).filter(f"all = {INDEX | PROBE}").select("key")
-    large = scratch.keep(large.join(scratch.keep(open_), "key"))
+    large = scratch.keep(large.join(scratch.keep(open_, tasks=few), "key"))
 
     of = pairs.select("c1").unionByName(pairs.select(F.col("other").alias("c1"))).unionByName(large.select("c1"))
-    of = scratch.keep(of.distinct())
+    of = scratch.keep(of.distinct(), tasks=few)
     sent = spark.sparkContext.broadcast(frozenset(r.c1 for r in of.toLocalIterator())) if of.count() <= BROADCAST_LINES else None
     known = docs.select("text").mapInArrow(_texts_of(bands[0][0], sent), _schema(_TEXT))
     known = (known if sent else known.join(of, "c1", "left_semi")).dropDuplicates(["c1", "c2"]).withColumnRenamed("text_of", "line")
@@ -422,10 +424,10 @@ def _late_lines(docs, firsts, bands, scratch, crowd):
         return late.distinct()
     rows = large.join(known, "c1").select("key", "sides", "c1", "c2", "line", "first").mapInArrow(_open(bands), _schema(_ROW | _ALONG))
     while True:
-        full = scratch.keep(rows.distinct())
+        full = scratch.keep(rows.distinct(), tasks=few)
         # the earliest line of each key settles what is near it
         head = F.min(F.struct("first", "c1", "c2", "line")).alias("h")
-        heads = scratch.keep(full.groupBy("key").agg(head).select("key", F.col("h.c1").alias("f1"), F.col("h.c2").alias("f2"), F.col("h.first").alias("other_first"), F.col("h.line").alias("other")))
+        heads = scratch.keep(full.groupBy("key").agg(head).select("key", F.col("h.c1").alias("f1"), F.col("h.c2").alias("f2"), F.col("h.first").alias("other_first"), F.col("h.line").alias("other")), tasks=few)
         late = late.unionByName(judged(full.join(late, ["c1", "c2"], "left_anti").join(heads, "key"))).distinct()
         asks = full.join(late.withColumn("done", F.lit(True)), ["c1", "c2"], "left").withColumn("ask", F.col("done").isNull()).drop("done")
 
@@ -433,11 +435,11 @@ def _late_lines(docs, firsts, bands, scratch, crowd):
             return F.sum(F.expr(f"if(sides & {side} > 0 and {of}, 1, 0)"))
 
         sizes = asks.groupBy("key").agg(count(INDEX).alias("i"), count(PROBE).alias("p"), count(INDEX, "ask").alias("ai"), count(PROBE, "ask").alias("ap"), F.max(F.expr("size < 0")).alias("ends"))
-        sizes = scratch.keep(sizes.filter("ai * p + ap * i > 0").select("key", F.expr(f"if(ends or ai * p + ap * i <= {PAIRED} * (i + p), 1, 2)").alias("go")))
-        few = asks.join(sizes.filter("go = 1"), "key")
-        partner = few.select("key", F.col("sides").alias("their"), F.col("c1").alias("f1"), F.col("c2").alias("f2"), F.col("first").alias("other_first"), F.col("line").alias("other"))
+        sizes = scratch.keep(sizes.filter("ai * p + ap * i > 0").select("key", F.expr(f"if(ends or ai * p + ap * i <= {PAIRED} * (i + p), 1, 2)").alias("go")), tasks=few)
+        asking = asks.join(sizes.filter("go = 1"), "key")
+        partner = asking.select("key", F.col("sides").alias("their"), F.col("c1").alias("f1"), F.col("c2").alias("f2"), F.col("first").alias("other_first"), F.col("line").alias("other"))
         facing = F.expr("(sides & 1 > 0 and their & 2 > 0 or sides & 2 > 0 and their & 1 > 0) and other_first < first")
-        late = scratch.keep(late.unionByName(judged(few.filter("ask").join(partner, "key").filter(facing))).distinct())
+        late = scratch.keep(late.unionByName(judged(asking.filter("ask").join(partner, "key").filter(facing))).distinct(), tasks=few)
         hot = sizes.filter("go = 2").select("key")
         if hot.isEmpty():
             return late
@@ -476,7 +478,7 @@ def dedup_lines(docs: DataFrame, bands: Bands = BANDS, crowd: int = CROWD, copie
     named = docs.select("*", u1, u2)
     lines = scratch.keep(named.select("doc_id", "__u1", "__u2", "text").mapInArrow(_lines(shortest, shortest if copies is None else min(copies, shortest)), "c1 long, c2 long, doc_id long, u1 long, u2 long, line int"))
     place = F.struct("doc_id", "u1", "u2", "line")
-    firsts = scratch.keep(lines.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    firsts = scratch.keep(lines.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("n")), tasks=common.writers(docs.sparkSession))
     late = late_lines(docs.select("text"), firsts.drop("n"), bands, scratch, crowd).withColumn("late", F.lit(True))
     # only lines that may go are joined with their rows, so that one line's many rows can be split
     judged = scratch.keep(firsts.join(late, ["c1", "c2"], "left").filter("late or n > 1").drop("n"))

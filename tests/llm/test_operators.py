@@ -254,6 +254,34 @@ def test_op4_crowd_of_strangers(spark):
     assert {d for d, n in got.items() if n} == late | set(range(3000, 5000)) & set(got)
 
 
+def test_op4_few_files(spark, monkeypatch):
+    """Each file costs processes where it is written: tables that end an aggregate, and what meets, have few of them however many partitions are shuffled."""
+    rng, sizes, keep = random.Random(6), [], common.Scratch.keep
+    base, rows = prose(rng, 14), []
+    for i in range(90):
+        at = rng.sample(range(len(base)), 2)
+        rows.append((i, "".join("xyz"[i % 3] if k in at else c for k, c in enumerate(base))))
+
+    def counted(self, df, *args, **named):
+        sizes.append(len((out := keep(self, df, *args, **named)).inputFiles()))
+        return out
+
+    monkeypatch.setattr(common.Scratch, "keep", counted)
+    wanted = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(df, bands=((40, 1),), crowd=8).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {d for d, n in got.items() if n} == {d for d, gone in lines_gone(rows, ((40, 1),)).items() if gone}
+    # tables of lines, first places, what met, pairs, keys of crowds, their rows, names; what follows depends on the rounds
+    assert max(sizes[i] for i in (1, 2, 3, 4, 6)) <= 5, sizes
+
+
 def test_op4_short_copies(spark):
     rows = [(1, "one\n\none\n \n \ntwo"), (2, "two\nthree\n\n "), (3, "threes"), (4, "ü\nü")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
